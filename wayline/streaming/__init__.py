@@ -1,0 +1 @@
+"""No streaming operators: every pipeline of this library is a batch job over static schedules."""
