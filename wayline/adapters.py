@@ -57,7 +57,7 @@ VIEWS["a_stop_time"] = """
 SELECT t.trip_id, CAST(l.pos * 2 + 1 AS BIGINT) AS stop_sequence,
        CAST((t.tpl * 37 + l.pos * (7 + t.tpl % 9)) % (SELECT count(*) FROM supplier) AS BIGINT) AS stop_id,
        CAST(CASE WHEN l.l_partkey % 401 = 7 THEN NULL ELSE t.start_s + l.off END AS BIGINT) AS arrival_s,
-       CAST(CASE WHEN l.l_partkey % 401 = 7 OR l.l_partkey % 11 = 3 THEN NULL ELSE t.start_s + l.off + 20 END AS BIGINT)
+       CAST(CASE WHEN l.l_partkey % 401 = 7 OR l.l_partkey % 11 = 3 THEN NULL ELSE t.start_s + l.off + 20 + CASE WHEN l.l_partkey % 97 = 11 THEN 900 ELSE 0 END END AS BIGINT)
             AS departure_s
 FROM a_trip t JOIN a_line l ON l.l_orderkey = t.trip_id"""
 

@@ -4,7 +4,7 @@ import importlib
 
 from wayline import registry
 
-MODULES = ["patterns"]
+MODULES = ["patterns", "bus_feed"]
 
 
 def _load():

@@ -33,10 +33,8 @@ SELECT t.*, s.signature, p.pattern_id FROM a_trip t LEFT JOIN o_sig s ON s.trip_
 LEFT JOIN o_pattern p ON p.route_id = t.route_id AND p.signature = s.signature"""
 
 
-def layer(t):
-    """signatures, patterns, pattern stops and trips with their pattern, from the adapter tables."""
-    sig = p.signatures(t.a_stop_time)
-    return sig, p.patterns(sig, t.a_trip), p.pattern_stops(t.a_stop_time, sig, t.a_trip), p.trip_patterns(sig, t.a_trip)
+def layer(t) -> p.Layer:
+    return p.Layer(t.a_stop_time, t.a_trip)
 
 
 @query("ag1_signatures", "SELECT trip_id, signature, stops, first_departure FROM o_sig")
@@ -51,21 +49,21 @@ def ag2(t):
 
 @query("ag3_pattern_stops", "SELECT pattern_id, idx, stop_id, stop_sequence, offset_s FROM o_pattern_stop")
 def ag3(t):
-    return layer(t)[2].select("pattern_id", "idx", "stop_id", "stop_sequence", "offset_s")
+    return layer(t).stops.select("pattern_id", "idx", "stop_id", "stop_sequence", "offset_s")
 
 
 @query("jn12_stop_time_pattern", """
 SELECT st.trip_id, st.stop_sequence, p.pattern_id FROM a_stop_time st JOIN o_sig s ON s.trip_id = st.trip_id
 JOIN a_trip t ON t.trip_id = st.trip_id JOIN o_pattern p ON p.route_id = t.route_id AND p.signature = s.signature""")
 def jn12(t):
-    _, _, _, tp = layer(t)
+    tp = layer(t).trips
     return (t.a_stop_time.select("trip_id", "stop_sequence")
             .join(tp.filter("pattern_id is not null").select("trip_id", "pattern_id"), "trip_id"))
 
 
 @query("jn13_trip_pattern", "SELECT trip_id, route_id, pattern_id FROM o_trip_pattern")
 def jn13(t):
-    return layer(t)[3].select("trip_id", "route_id", "pattern_id")
+    return layer(t).trips.select("trip_id", "route_id", "pattern_id")
 
 
 @query("jn14_route_agency", """
@@ -91,7 +89,7 @@ def wn2(t):
 SELECT pattern_id, idx, offset_s, stop_sequence, lag(offset_s) OVER w AS prev_offset, lag(stop_sequence) OVER w AS prev_sequence
 FROM o_pattern_stop WINDOW w AS (PARTITION BY pattern_id ORDER BY idx)""")
 def wn3(t):
-    return q.pattern_steps(layer(t)[2])
+    return q.pattern_steps(layer(t).stops)
 
 
 @query("wn4_first_departure", """
@@ -106,7 +104,7 @@ SELECT pattern_id, CASE WHEN trip_count >= 2 AND last_departure > first_departur
   THEN CAST(trunc(greatest(120, least(900, (last_departure - first_departure) / (trip_count - 1) / 2))) AS BIGINT)
   ELSE 900 END AS wait_s FROM o_pattern""")
 def ag11(t):
-    _, pat, _, _ = layer(t)
+    pat = layer(t).patterns
     return pat.select("pattern_id", p.expected_wait(F.col("trip_count"), F.col("first_departure"),
                                                     F.col("last_departure")).cast("bigint").alias("wait_s"))
 
@@ -114,7 +112,8 @@ def ag11(t):
 @query("ag10_stops_served", """
 SELECT stop_id, count(DISTINCT pattern_id) AS serving FROM o_pattern_stop GROUP BY stop_id""")
 def ag10(t):
-    _, pat, ps, _ = layer(t)
+    made = layer(t)
+    pat, ps = made.patterns, made.stops
     return p.stops_served(ps, pat)
 
 
@@ -123,7 +122,8 @@ SELECT p.pattern_id, p.route_id, a.agency_name FROM o_pattern p JOIN a_route r O
 LEFT JOIN a_agency a ON a.agency_id = r.agency_id
 WHERE NOT EXISTS (SELECT 1 FROM o_pattern_stop ps JOIN a_stop s ON s.stop_id = ps.stop_id WHERE ps.pattern_id = p.pattern_id AND NOT s.active)""")
 def src18(t):
-    _, pat, ps, _ = layer(t)
+    made = layer(t)
+    pat, ps = made.patterns, made.stops
     routes = t.a_route.join(t.a_agency, "agency_id", "left").select("route_id", "agency_name")
     return (p.usable_patterns(pat, ps, t.a_stop, t.a_route).join(routes, "route_id")
             .select("pattern_id", "route_id", "agency_name"))
@@ -132,7 +132,7 @@ def src18(t):
 @query("src18_served_stops", """
 SELECT stop_id, stop_name FROM a_stop s WHERE active AND EXISTS (SELECT 1 FROM o_pattern_stop p WHERE p.stop_id = s.stop_id)""")
 def src18_stops(t):
-    return (t.a_stop.filter("active").join(layer(t)[2], "stop_id", "left_semi").select("stop_id", "stop_name"))
+    return (t.a_stop.filter("active").join(layer(t).stops, "stop_id", "left_semi").select("stop_id", "stop_name"))
 
 
 @query("src17_current_dataset", """
@@ -193,19 +193,18 @@ def dq4(t):
 
 
 @query("dq5_relationships", """
-SELECT (SELECT count(*) FROM a_route r WHERE EXISTS (SELECT 1 FROM a_trip t WHERE t.route_id = r.route_id)) AS routes_with_trips,
-       (SELECT count(*) FROM a_stop s WHERE EXISTS (SELECT 1 FROM a_stop_time t WHERE t.stop_id = s.stop_id)) AS stops_used,
-       (SELECT count(*) FROM (SELECT long_name FROM a_route GROUP BY long_name HAVING count(*) > 1) d) AS shared_long_names,
-       (SELECT min(stop_sequence) FROM a_stop_time) AS first_sequence, (SELECT max(stop_sequence) FROM a_stop_time) AS last_sequence,
-       (SELECT max(departure_s) FROM a_stop_time) AS latest_departure""")
+SELECT 'routes with trips' AS check_name, count(*) AS n FROM a_route r WHERE EXISTS (SELECT 1 FROM a_trip t WHERE t.route_id = r.route_id)
+UNION ALL SELECT 'stops used', count(*) FROM a_stop s WHERE EXISTS (SELECT 1 FROM a_stop_time t WHERE t.stop_id = s.stop_id)
+UNION ALL SELECT 'shared long names', count(*) FROM (SELECT long_name FROM a_route GROUP BY long_name HAVING count(*) > 1) d
+UNION ALL SELECT 'first sequence', min(stop_sequence) FROM a_stop_time
+UNION ALL SELECT 'last sequence', max(stop_sequence) FROM a_stop_time
+UNION ALL SELECT 'latest departure', max(departure_s) FROM a_stop_time""")
 def dq5(t):
-    one = lambda d, n: d.agg(F.count(F.lit(1)).alias(n))
-    # Four one-row aggregates side by side.
-    return (one(t.a_route.join(t.a_trip, "route_id", "left_semi"), "routes_with_trips")
-            .join(one(t.a_stop.join(t.a_stop_time, "stop_id", "left_semi"), "stops_used"))
-            .join(one(q.repeated(t.a_route, "long_name"), "shared_long_names"))
-            .join(t.a_stop_time.agg(F.min("stop_sequence").alias("first_sequence"), F.max("stop_sequence").alias("last_sequence"),
-                                    F.max("departure_s").alias("latest_departure"))))
+    return q.report({"routes with trips": t.a_route.join(t.a_trip, "route_id", "left_semi"),
+                     "stops used": t.a_stop.join(t.a_stop_time, "stop_id", "left_semi"),
+                     "shared long names": q.repeated(t.a_route, "long_name")}).unionByName(
+        q.measures(t.a_stop_time, {"first sequence": F.min("stop_sequence"), "last sequence": F.max("stop_sequence"),
+                                   "latest departure": F.max("departure_s")}))
 
 
 @query("dq6_patterns", """
@@ -217,15 +216,16 @@ UNION ALL SELECT 'stop_sequence not increasing', count(*) FROM (SELECT stop_sequ
 UNION ALL SELECT 'trips of another route', count(*) FROM o_trip_pattern t JOIN o_pattern p ON p.pattern_id = t.pattern_id WHERE p.route_id <> t.route_id
 UNION ALL SELECT 'signature repeated', count(*) FROM (SELECT route_id, signature FROM o_pattern GROUP BY route_id, signature HAVING count(*) > 1) d""")
 def dq6(t):
-    _, pat, ps, tp = layer(t)
-    return q.pattern_report(pat, ps, tp)
+    made = layer(t)
+    return q.pattern_report(made.patterns, made.stops, made.trips)
 
 
 @query("dq7_compression", """
-SELECT (SELECT count(*) FROM a_stop_time) AS stop_time_rows, (SELECT count(*) FROM o_pattern_stop) AS pattern_stop_rows,
-       (SELECT count(*) FROM o_trip_pattern WHERE pattern_id IS NULL) AS trips_without_pattern""")
+SELECT 'stop time rows' AS check_name, count(*) AS n FROM a_stop_time
+UNION ALL SELECT 'pattern stop rows', count(*) FROM o_pattern_stop
+UNION ALL SELECT 'trips without a pattern', count(*) FROM o_trip_pattern WHERE pattern_id IS NULL""")
 def dq7(t):
-    _, _, ps, tp = layer(t)
-    return (t.a_stop_time.agg(F.count(F.lit(1)).alias("stop_time_rows"))
-            .join(ps.agg(F.count(F.lit(1)).alias("pattern_stop_rows")))
-            .join(tp.agg(F.count(F.when(F.col("pattern_id").isNull(), 1)).alias("trips_without_pattern"))))
+    made = layer(t)
+    ps, tp = made.stops, made.trips
+    return q.report({"stop time rows": t.a_stop_time, "pattern stop rows": ps,
+                     "trips without a pattern": tp.filter("pattern_id is null")})

@@ -78,6 +78,11 @@ def round6(c: Column) -> Column:
     return F.floor(c * 1e6 + 0.5) / 1e6
 
 
+def whole(text: Column) -> Column:
+    """An integer written as text, or NULL."""
+    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
+
+
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 

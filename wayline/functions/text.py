@@ -54,6 +54,12 @@ def display(raw: Column) -> Column:
     return F.trim(F.substring(c, 1, MAX_NAME))
 
 
+def no_text(raw: Column) -> Column:
+    """Would :func:`display` be empty? Composition never empties a text, so this needs no UDF."""
+    c = F.regexp_replace(F.coalesce(raw, F.lit("")), CONTROL_OR_FORMAT, "")
+    return F.trim(F.regexp_replace(c, UNICODE_SPACE, " ")) == ""
+
+
 def area_name(raw: Column) -> Column:
     c = F.regexp_replace(nfc(F.coalesce(raw, F.lit(""))), r"[\n\r\t]", " ")
     c = F.regexp_replace(c, AREA_INVISIBLE, "")

@@ -16,11 +16,12 @@ def reasons(*rules: tuple[Column, str]) -> Column:
 
 
 def judge(df: DataFrame, key: list[str], pos: str, reason: Column, always: Column | None = None,
-          skip: Column | None = None, skip_blocks: bool = False) -> DataFrame:
+          skip: Column | None = None, skip_blocks: bool = False, late_duplicate: bool = False) -> DataFrame:
     """Adds ``outcome`` (accepted / skipped / duplicate / rejected) and ``reason``.
 
     ``always`` is a reason that is tested before the duplicate rule (a blank id). ``skip`` rows are
     neither accepted nor rejected; with ``skip_blocks`` their id also makes later rows duplicates.
+    ``late_duplicate`` reports a bad later copy under its own reason instead of as a duplicate.
     """
     d = df.withColumn("_always", always if always is not None else F.lit(None).cast("string"))
     d = d.withColumn("_skip", F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False))
@@ -30,6 +31,8 @@ def judge(df: DataFrame, key: list[str], pos: str, reason: Column, always: Colum
     first = d.filter(wins).groupBy(*key).agg(F.min(pos).alias("_first"))
     d = d.join(first, key, "left")
     later = F.col("_first").isNotNull() & (F.col(pos) > F.col("_first"))
+    if late_duplicate:
+        later = later & F.col("_why").isNull()
     outcome = (F.when(F.col("_always").isNotNull(), "rejected").when(later, DUPLICATE)
                .when(F.col("_skip"), SKIPPED).when(F.col("_why").isNotNull(), "rejected").otherwise("accepted"))
     d = d.withColumn("outcome", outcome)

@@ -15,11 +15,15 @@ def report(checks: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [count_as(d, k) for k, d in checks.items()])
 
 
+def measures(df: DataFrame, named: dict[str, Column]) -> DataFrame:
+    """Several aggregates of one table in a single scan, one row per name."""
+    wide = df.agg(*[c.cast("bigint").alias(f"c{i}") for i, c in enumerate(named.values())])
+    rows = F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(f"c{i}").alias("n")) for i, k in enumerate(named)])
+    return wide.select(F.explode(rows).alias("r")).select("r.check_name", "r.n")
+
+
 def flags(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """Several row conditions of one table counted in a single scan, one row per check."""
-    sums = df.agg(*[F.count(F.when(c, 1)).alias(f"c{i}") for i, c in enumerate(checks.values())])
-    rows = F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(f"c{i}").alias("n")) for i, k in enumerate(checks)])
-    return sums.select(F.explode(rows).alias("r")).select("r.check_name", "r.n")
+    return measures(df, {k: F.count(F.when(c, 1)) for k, c in checks.items()})
 
 
 def repeated(df: DataFrame, *keys: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """The pattern layer: trips of a route that call at the same stops in the same order, with typical times."""
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wayline.functions.scalars import half_up, pattern_id
+from wayline.functions.scalars import pattern_id
 from wayline.operators.ordered import position
+from wayline.operators.stage import stage
 
 
 def known_time(first: str = "departure_s", second: str = "arrival_s") -> Column:
@@ -77,3 +80,26 @@ def usable_patterns(pattern: DataFrame, pattern_stop: DataFrame, stops: DataFram
               .select("pattern_id").distinct())
     return (pattern.join(routes.filter("active").select("route_id"), "route_id", "left_semi")
             .join(broken, "pattern_id", "left_anti"))
+
+
+class Layer:
+    """The derived pattern tables of one timetable; each is written once, on first use."""
+
+    def __init__(self, stop_times: DataFrame, trips: DataFrame):
+        self._times, self._trips = stop_times, trips
+
+    @cached_property
+    def signatures(self) -> DataFrame:
+        return stage(signatures(self._times))
+
+    @cached_property
+    def patterns(self) -> DataFrame:
+        return stage(patterns(self.signatures, self._trips))
+
+    @cached_property
+    def stops(self) -> DataFrame:
+        return stage(pattern_stops(self._times, self.signatures, self._trips))
+
+    @cached_property
+    def trips(self) -> DataFrame:
+        return stage(trip_patterns(self.signatures, self._trips))
