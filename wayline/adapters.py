@@ -31,8 +31,9 @@ SELECT CAST(floor(c_custkey / 20) AS BIGINT) AS route_id,
        CAST(floor(c_custkey / 20) AS BIGINT) % 17 <> 4 AS active
 FROM customer GROUP BY CAST(floor(c_custkey / 20) AS BIGINT)"""
 VIEWS["a_service"] = """
-SELECT service_id, d, CAST(CASE WHEN d = 5 THEN DATE '2024-01-10' ELSE DATE '2024-01-01' END AS DATE) AS start_date,
-       CAST(CASE WHEN d = 4 THEN DATE '2024-01-12' ELSE DATE '2024-06-30' END AS DATE) AS end_date
+SELECT service_id, d, CAST(CASE WHEN d = 5 THEN DATE '2024-01-04' ELSE DATE '2024-01-01' END AS DATE) AS start_date,
+       CAST(CASE WHEN d = 4 THEN DATE '2024-01-12' ELSE DATE '2024-06-30' END AS DATE) AS end_date,
+       concat(',', CASE WHEN (d * 2) % 3 <> 0 OR d = 3 THEN 'monday,' ELSE '' END, CASE WHEN (d * 3) % 3 <> 0 OR d = 3 THEN 'tuesday,' ELSE '' END, CASE WHEN (d * 4) % 3 <> 0 OR d = 3 THEN 'wednesday,' ELSE '' END, CASE WHEN (d * 5) % 3 <> 0 OR d = 3 THEN 'thursday,' ELSE '' END, CASE WHEN (d * 6) % 3 <> 0 OR d = 3 THEN 'friday,' ELSE '' END, CASE WHEN (d * 7) % 3 <> 0 OR d = 3 THEN 'saturday,' ELSE '' END, CASE WHEN (d * 8) % 3 <> 0 OR d = 3 THEN 'sunday,' ELSE '' END) AS days
 FROM (SELECT DISTINCT o_orderpriority AS service_id,
              CAST(substring(o_orderpriority, 1, 1) AS INT) AS d FROM orders) x"""
 # last write wins per (service, date)
@@ -165,7 +166,8 @@ SELECT o.session_id, o.route_id, o.idx, n.n_nationkey AS area_id,
        CASE WHEN n.n_nationkey % 7 = 0 THEN concat('  Lake  View ', CAST(n.n_nationkey % 2 AS VARCHAR(20)))
             ELSE concat('Nation ', n.n_name) END AS name,
        CASE n.n_nationkey % 4 WHEN 0 THEN 'CITY' WHEN 1 THEN 'TOWN' WHEN 2 THEN 'VILLAGE' ELSE 'SUBURB' END AS area_type,
-       row_number() OVER (PARTITION BY o.route_id ORDER BY n.n_nationkey) AS sequence
+       row_number() OVER (PARTITION BY o.route_id ORDER BY n.n_nationkey) AS sequence,
+       ((n.n_nationkey * 17 + o.idx) % 130) / 100e0 - 0.1e0 AS position
 FROM a_option o JOIN nation n ON (o.l_partkey + o.l_suppkey * (n.n_nationkey + 1)) % 7 = n.n_nationkey % 7"""
 VIEWS["a_search"] = """
 SELECT o_orderkey AS session_id,
@@ -180,6 +182,30 @@ SELECT DISTINCT l_orderkey AS session_id,
        CAST(l_partkey % 25 + CASE WHEN l_partkey % 3 = 0 THEN 100 ELSE 0 END AS INT) AS area_id
 FROM lineitem WHERE l_returnflag = 'A'"""
 
+VIEWS["a_leg"] = """
+SELECT session_id, route_id, 0 AS leg, CASE l_suppkey % 8 WHEN 0 THEN 'SUBWAY' WHEN 1 THEN ' metro_rail ' WHEN 2 THEN 'BUS' WHEN 3 THEN 'TRAM'
+       WHEN 4 THEN 'hovercraft' WHEN 5 THEN NULL WHEN 6 THEN 'HEAVY_RAIL' ELSE 'FERRY' END AS vehicle FROM a_option
+UNION ALL
+SELECT session_id, route_id, 1 AS leg, CASE l_partkey % 5 WHEN 0 THEN 'INTERCITY_BUS' WHEN 1 THEN 'RAIL' WHEN 2 THEN 'CABLE_CAR' WHEN 3 THEN 'URBAN_RAIL'
+       ELSE 'warp' END AS vehicle FROM a_option"""
+VIEWS["a_pref"] = """
+SELECT o_orderkey AS session_id, o_orderkey % 2 = 0 AS fastest, o_orderkey % 3 = 0 AS lowest_fare, o_orderkey % 5 < 3 AS fewer_transfers,
+       o_orderkey % 7 < 3 AS less_walking, o_orderkey % 8 IN (1, 2, 5) AS step_free, o_orderkey % 6 < 2 AS avoid_inaccessible,
+       CASE o_orderkey % 9 WHEN 0 THEN 'BUS' WHEN 1 THEN 'METRO,TRAIN' WHEN 2 THEN 'FOUR_WHEELER' WHEN 3 THEN 'TRAIN' ELSE '' END AS avoid
+FROM orders"""
+VIEWS["a_access_point"] = """
+SELECT session_id, route_id, 0 AS ord, l_suppkey % 50 AS stop_key, 'BOARDING' AS kind,
+       CASE (l_suppkey + l_partkey) % 5 WHEN 0 THEN 'INACCESSIBLE' WHEN 1 THEN 'UNKNOWN' ELSE 'ACCESSIBLE' END AS status
+FROM a_option WHERE mode IN ('METRO', 'BUS')
+UNION ALL
+SELECT session_id, route_id, 1 AS ord, l_partkey % 50 AS stop_key, 'EXIT' AS kind,
+       CASE l_suppkey % 4 WHEN 0 THEN 'UNKNOWN' ELSE 'ACCESSIBLE' END AS status
+FROM a_option WHERE mode IN ('METRO', 'BUS')
+UNION ALL
+SELECT session_id, route_id, 2 AS ord, (l_partkey + l_suppkey % 2) % 50 AS stop_key, 'TRANSFER' AS kind,
+       CASE l_partkey % 7 WHEN 0 THEN 'INACCESSIBLE' ELSE 'ACCESSIBLE' END AS status
+FROM a_option WHERE mode IN ('METRO', 'BUS') AND transfers > 1"""
+
 # --- saved and recent journeys -----------------------------------------------------------------------------
 VIEWS["a_recent"] = """
 SELECT event_id, user_id, ts,
@@ -211,11 +237,16 @@ VIEWS["a_request"] = """
 SELECT c_custkey AS request_id,
        o.lat + (c_custkey % 21 - 10) * 1e-4 AS from_lat, o.lon + (c_custkey % 19 - 9) * 1e-4 AS from_lon,
        t.lat + (c_custkey % 17 - 8) * 1e-4 AS to_lat, t.lon + (c_custkey % 13 - 6) * 1e-4 AS to_lon,
-       21600 + (c_custkey * 131) % 64800 AS depart_s,
+       21600 + (c_custkey * 131) % 64800 AS depart_s, DATE '2024-01-03' + CAST(c_custkey % 3 AS INT) AS day,
        CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'FEWER_TRANSFERS' WHEN 'BUILDING' THEN 'LESS_WALKING' ELSE 'DEFAULT' END AS preference
 FROM customer c
 JOIN a_stop o ON o.stop_id = c_custkey % (SELECT count(*) FROM supplier)
 JOIN a_stop t ON t.stop_id = (c_custkey * 37 + 11) % (SELECT count(*) FROM supplier)"""
+VIEWS["a_window"] = """
+SELECT request_id AS window_id, from_lat - 1e-2 AS south, from_lon - 1e-2 - (request_id % 3) * 4e-3 AS west,
+       CASE WHEN request_id % 50 = 7 THEN from_lat - 2e-2 WHEN request_id % 50 = 8 THEN from_lat + 5e-2 WHEN request_id % 50 = 9 THEN 95e0
+            ELSE from_lat + 1e-2 + (request_id % 2) * 8e-3 END AS north, from_lon + 1e-2 AS east
+FROM a_request"""
 # A route line: the stops an order's lines call at, shifted so that most vertices differ.
 VIEWS["a_vertex"] = """
 SELECT t.trip_id AS route_id, CAST(st.stop_sequence AS BIGINT) AS seq, s.lat, s.lon

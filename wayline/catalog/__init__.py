@@ -4,7 +4,7 @@ import importlib
 
 from wayline import registry
 
-MODULES = ["patterns", "bus_feed"]
+MODULES = ["patterns", "bus_feed", "compare", "journeys"]
 
 
 def _load():
