@@ -17,12 +17,14 @@ LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l
 VIEWS: dict[str, str] = {}
 
 # --- bus domain ---------------------------------------------------------------------------------------------
+# Every fourth stop stands a short walk from the stop before it.
 VIEWS["a_stop"] = """
-SELECT s_suppkey AS stop_id, s_name AS stop_name,
-       8e0 + (CAST(floor(s_suppkey / 100) AS BIGINT) % 500) * 5e-2 + ((s_suppkey * 7919) % 1000) / 2e4 AS lat,
-       70e0 + (CAST(floor(s_suppkey / 50000) AS BIGINT) % 500) * 5e-2 + ((s_suppkey * 104729) % 1009) / 2e4 AS lon,
-       NULLIF(s_suppkey % 3, 0) AS wheelchair, s_suppkey % 23 <> 5 AS active
-FROM supplier"""
+SELECT stop_id, stop_name,
+       8e0 + (CAST(floor(k / 100) AS BIGINT) % 500) * 5e-2 + ((k * 7919) % 1000) / 2e4 + (stop_id - k) * 12e-4 AS lat,
+       70e0 + (CAST(floor(k / 50000) AS BIGINT) % 500) * 5e-2 + ((k * 104729) % 1009) / 2e4 AS lon,
+       NULLIF(stop_id % 3, 0) AS wheelchair, stop_id % 23 <> 5 AS active
+FROM (SELECT s_suppkey AS stop_id, s_name AS stop_name, s_suppkey - CASE WHEN s_suppkey % 4 = 3 THEN 1 ELSE 0 END AS k
+      FROM supplier) x"""
 VIEWS["a_agency"] = "SELECT n_nationkey AS agency_id, n_name AS agency_name FROM nation"
 VIEWS["a_route"] = """
 SELECT CAST(floor(c_custkey / 20) AS BIGINT) AS route_id,
@@ -179,7 +181,7 @@ SELECT DISTINCT l_orderkey AS session_id,
        CASE WHEN l_partkey % 7 = 0 THEN concat('lake view ', CAST(l_partkey % 2 AS VARCHAR(20)))
             ELSE concat('nation nation_', CAST(l_partkey % 25 AS VARCHAR(20))) END AS name_key,
        CASE l_partkey % 4 WHEN 0 THEN 'CITY' WHEN 1 THEN 'TOWN' WHEN 2 THEN 'VILLAGE' ELSE 'SUBURB' END AS area_type,
-       CAST(l_partkey % 25 + CASE WHEN l_partkey % 3 = 0 THEN 100 ELSE 0 END AS INT) AS area_id
+       CAST(l_partkey % 25 + CASE WHEN l_partkey % 3 = 0 THEN 100 ELSE 0 END AS BIGINT) AS area_id
 FROM lineitem WHERE l_returnflag = 'A'"""
 
 VIEWS["a_leg"] = """
@@ -213,26 +215,23 @@ SELECT event_id, user_id, ts,
 FROM events"""
 
 # --- areas ---------------------------------------------------------------------------------------------------
-# One rectangle per customer on a grid of 0.01 degree cells, and one wide strip per hundred customers.
-VIEWS["a_rect"] = """
-SELECT c_custkey AS area_id,
-       CASE WHEN c_custkey % 7 = 0 THEN concat('Place ', CAST(CAST(floor(c_custkey / 14) AS BIGINT) AS VARCHAR(20)))
-            ELSE concat('Place ', c_name) END AS name,
-       CASE c_custkey % 7 WHEN 0 THEN 'CITY' WHEN 1 THEN 'TOWN' WHEN 2 THEN 'VILLAGE' WHEN 3 THEN 'SECTOR'
-            WHEN 4 THEN 'SUBURB' WHEN 5 THEN 'LOCALITY' ELSE 'OTHER' END AS area_type,
-       70e0 + (c_custkey % 10) * 5e-3 + (CAST(floor(c_custkey / 5000000) AS BIGINT) % 500) * 5e-2 AS x0,
-       8e0 + (CAST(floor(c_custkey / 10) AS BIGINT) % 5000) * 5e-3 AS y0,
-       70e0 + (c_custkey % 10) * 5e-3 + (CAST(floor(c_custkey / 5000000) AS BIGINT) % 500) * 5e-2 + 5e-3 + (c_custkey % 3) * 1e-3 AS x1,
-       8e0 + (CAST(floor(c_custkey / 10) AS BIGINT) % 5000) * 5e-3 + 5e-3 + (c_custkey % 2) * 1e-3 AS y1
-FROM customer
-UNION ALL
-SELECT 1000000000 + c_custkey AS area_id, concat('District ', CAST(c_custkey AS VARCHAR(20))) AS name,
-       CASE WHEN c_custkey % 200 = 0 THEN 'DISTRICT' ELSE 'MUNICIPALITY' END AS area_type,
-       70e0 + (CAST(floor(c_custkey / 5000000) AS BIGINT) % 500) * 5e-2 AS x0,
-       8e0 + (CAST(floor(c_custkey / 10) AS BIGINT) % 5000) * 5e-3 AS y0,
-       70e0 + (CAST(floor(c_custkey / 5000000) AS BIGINT) % 500) * 5e-2 + 5e-2 AS x1,
-       8e0 + (CAST(floor(c_custkey / 10) AS BIGINT) % 5000) * 5e-3 + 5e-2 AS y1
-FROM customer WHERE c_custkey % 100 = 0"""
+# One rectangle per customer on a grid of 0.0125 degree cells, and one wide strip per twenty customers.
+_GX = "70e0 + (CAST(floor(c_custkey / 16000) AS BIGINT) % 500) * 5e-2 + 1.23e-5"
+_GY = "8e0 + (CAST(floor(c_custkey / 4) AS BIGINT) % 4000) * 1.25e-2 + 1.71e-5"
+VIEWS["a_rect"] = f"""
+SELECT area_id, name, area_type, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM (
+ SELECT c_custkey AS area_id,
+        CASE WHEN c_custkey % 3 = 0 THEN concat('Place ', CAST(CAST(floor(c_custkey / 6) AS BIGINT) AS VARCHAR(20)))
+             ELSE concat('Place ', c_name) END AS name,
+        CASE c_custkey % 7 WHEN 0 THEN 'CITY' WHEN 1 THEN 'TOWN' WHEN 2 THEN 'VILLAGE' WHEN 3 THEN 'SECTOR'
+             WHEN 4 THEN 'SUBURB' WHEN 5 THEN 'LOCALITY' ELSE 'OTHER' END AS area_type,
+        {_GX} + (c_custkey % 4) * 1.25e-2 AS x0, {_GY} AS y0, 1.25e-2 + (c_custkey % 3) * 1e-3 AS w, 1.25e-2 + (c_custkey % 2) * 1e-3 AS h
+ FROM customer
+ UNION ALL
+ SELECT 1000000000 + c_custkey AS area_id, concat('District ', CAST(c_custkey AS VARCHAR(20))) AS name,
+        CASE WHEN c_custkey % 40 = 0 THEN 'DISTRICT' ELSE 'MUNICIPALITY' END AS area_type,
+        {_GX} AS x0, {_GY} AS y0, 5e-2 AS w, 5e-2 AS h
+ FROM customer WHERE c_custkey % 20 = 0) x"""
 VIEWS["a_request"] = """
 SELECT c_custkey AS request_id,
        o.lat + (c_custkey % 21 - 10) * 1e-4 AS from_lat, o.lon + (c_custkey % 19 - 9) * 1e-4 AS from_lon,
@@ -321,4 +320,4 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     need(sql)
     if not order:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({parts[n]})" for n in order) + "\n" + sql
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({parts[n]})" for n in order) + "\n" + sql

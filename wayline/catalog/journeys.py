@@ -240,8 +240,11 @@ def jn9(t):
     return tt.active_patterns(net.running, net._layer.trips)
 
 
-@query("jn10_next_departure", """WITH w AS (SELECT r.request_id, r.day, r.depart_s AS ready_s, c.pattern_id, c.idx AS board_idx FROM a_request r JOIN n_call c ON c.stop_id = r.request_id % (SELECT count(*) FROM supplier))
-""" + next_run("w", "w.request_id, w.pattern_id, w.board_idx"))
+PARTS["n_wanted"] = """
+SELECT r.request_id, r.day, r.depart_s AS ready_s, c.pattern_id, c.idx AS board_idx FROM a_request r JOIN n_call c ON c.stop_id = r.request_id % (SELECT count(*) FROM supplier)"""
+
+
+@query("jn10_next_departure", next_run("n_wanted", "w.request_id, w.pattern_id, w.board_idx"))
 def jn10(t):
     net = network(t)
     calls = net.calls.select("pattern_id", F.col("idx").alias("board_idx"), "stop_id")
