@@ -250,6 +250,36 @@ FROM a_request"""
 VIEWS["a_vertex"] = """
 SELECT t.trip_id AS route_id, CAST(st.stop_sequence AS BIGINT) AS seq, s.lat, s.lon
 FROM a_stop_time st JOIN a_trip t ON t.trip_id = st.trip_id JOIN a_stop s ON s.stop_id = st.stop_id"""
+# --- metro feed: lines of forty stations that share ten with the next line; trips cover a stretch, half of them backwards
+VIEWS["raw_m_stop"] = """
+SELECT p_partkey AS row_pos, CASE WHEN p_partkey % 97 = 5 THEN concat('M', CAST(p_partkey - 1 AS VARCHAR(20))) WHEN p_partkey % 211 = 9 THEN ''
+            ELSE concat('M', CAST(p_partkey AS VARCHAR(20))) END AS stop_id,
+       CASE WHEN p_partkey % 83 = 7 THEN '' WHEN p_partkey % 10 = 9 THEN concat('Halt ', CAST(p_partkey - 1 AS VARCHAR(20)), ' (Rapid)')
+            WHEN p_partkey % 20 = 3 THEN concat('Halt ', CAST(p_partkey - 1 AS VARCHAR(20))) ELSE concat('Halt ', CAST(p_partkey AS VARCHAR(20))) END AS stop_name,
+       CASE WHEN p_partkey % 89 = 7 THEN 'north' ELSE CAST(28 + (k % 1000) * 9e-3 + (p_partkey - k) * 1e-3 AS VARCHAR(20)) END AS stop_lat,
+       CAST(70 + (CAST(floor(k / 1000) AS BIGINT) % 50) * 5e-1 AS VARCHAR(20)) AS stop_lon,
+       CASE WHEN p_partkey % 61 = 11 THEN '2' WHEN p_partkey % 67 = 11 THEN 'x' WHEN p_partkey % 15 = 4 THEN '1' ELSE '' END AS location_type,
+       CASE WHEN p_partkey % 15 = 5 THEN concat('M', CAST(p_partkey - 1 AS VARCHAR(20))) ELSE '' END AS parent_station,
+       CAST(p_partkey % 3 AS VARCHAR(20)) AS wheelchair_boarding
+FROM (SELECT p_partkey, p_partkey - CASE WHEN p_partkey % 10 = 9 OR p_partkey % 20 = 3 THEN 1 ELSE 0 END AS k FROM part) x"""
+VIEWS["raw_m_route"] = """
+SELECT c_custkey AS row_pos, concat('L', CAST(CAST(floor(c_custkey / 25) AS BIGINT) AS VARCHAR(20))) AS route_id,
+       CASE WHEN c_custkey % 31 = 1 THEN '' WHEN c_custkey % 2 = 0 THEN concat('Line ', CAST(CAST(floor(c_custkey / 100) AS BIGINT) AS VARCHAR(20)), ' (East)')
+            ELSE concat('Line ', CAST(CAST(floor(c_custkey / 100) AS BIGINT) AS VARCHAR(20))) END AS route_long_name,
+       CASE WHEN c_custkey % 31 = 1 AND c_custkey % 2 = 0 THEN '' ELSE concat('N', CAST(c_custkey % 7 AS VARCHAR(20))) END AS route_short_name,
+       CASE WHEN c_custkey % 100 >= 75 THEN '' ELSE concat('00', CAST(1000 + CAST(floor(c_custkey / 100) AS BIGINT) % 9000 AS VARCHAR(20))) END AS route_color
+FROM customer"""
+VIEWS["raw_m_trip"] = """
+SELECT o_orderkey AS row_pos, CASE WHEN o_orderkey % 101 = 7 THEN '' WHEN o_orderkey % 59 = 8 THEN concat('T', CAST(o_orderkey - 1 AS VARCHAR(20)))
+            ELSE concat('T', CAST(o_orderkey AS VARCHAR(20))) END AS trip_id,
+       CASE WHEN o_orderkey % 71 = 9 THEN 'L?' ELSE concat('L', CAST(CAST(floor(o_custkey / 25) AS BIGINT) AS VARCHAR(20))) END AS route_id FROM orders"""
+VIEWS["raw_m_stop_time"] = """
+SELECT l.l_orderkey * 100 + l.pos AS row_pos, concat('T', CAST(l.l_orderkey AS VARCHAR(20))) AS trip_id,
+       CASE WHEN l.l_partkey % 53 = 1 THEN 'M?' ELSE concat('M', CAST((CAST(floor(o.o_custkey / 25) AS BIGINT) * 30 + CASE WHEN o.o_orderkey % 2 = 0
+            THEN (o.o_orderkey % 5) * 2 + l.pos ELSE 30 - (o.o_orderkey % 5) * 2 - l.pos END) % (SELECT count(*) FROM part) AS VARCHAR(20))) END AS stop_id,
+       CASE WHEN l.l_partkey % 61 = 3 THEN '-1' WHEN l.l_partkey % 47 = 3 THEN '1' ELSE CAST(l.pos + 1 AS VARCHAR(20)) END AS stop_sequence
+FROM a_line l JOIN orders o ON o.o_orderkey = l.l_orderkey"""
+
 VIEWS["a_osm"] = """
 SELECT p_partkey AS osm_id, CASE p_partkey % 10 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'relation' END AS kind,
        CASE p_size % 12 WHEN 0 THEN 'city' WHEN 1 THEN 'town' WHEN 2 THEN 'village' WHEN 3 THEN 'hamlet' WHEN 4 THEN 'suburb'

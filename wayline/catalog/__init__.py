@@ -4,7 +4,7 @@ import importlib
 
 from wayline import registry
 
-MODULES = ["patterns", "bus_feed", "compare", "journeys", "detect", "scalars"]
+MODULES = ["patterns", "bus_feed", "compare", "journeys", "detect", "scalars", "metro"]
 
 
 def _load():

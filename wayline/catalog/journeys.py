@@ -8,8 +8,8 @@ from wayline.operators.stage import stage
 from wayline.plans import bus_plan as b, patterns as p, timetable as tt
 from wayline.registry import PARTS, query
 
-HAV = ("2 * 6371008.8e0 * asin(least(1e0, sqrt(pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) "
-       "* pow(sin(radians({d} - {c}) / 2), 2))))")  # a, b latitudes; c, d longitudes
+HAV = ("(2 * 6371008.8e0 * asin(least(1e0, sqrt(pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) "
+       "* pow(sin(radians({d} - {c}) / 2), 2)))) + 0 * ({a} + {b} + {c} + {d}))")  # a, b latitudes; c, d longitudes
 
 
 def hav(lat1, lon1, lat2, lon2):

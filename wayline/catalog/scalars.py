@@ -204,14 +204,19 @@ def src16(t):
 # ---- saved and recent journeys
 
 NOW = "TIMESTAMP '2024-02-05 00:00:00'"
-now = F.lit("2024-02-05 00:00:00").cast("timestamp")
+
+
+def now():
+    return F.lit("2024-02-05 00:00:00").cast("timestamp")
+
+
 stamped = lambda d: d.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("sl7_rc18_recent", f"""SELECT user_id, journey_key, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM (
  SELECT user_id, journey_key, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM a_recent WHERE ts >= {NOW} - INTERVAL 30 DAY GROUP BY user_id, journey_key) x) y WHERE place <= 10""")
 def sl7(t):
-    return sv.recent(stamped(t.a_recent), now).select("user_id", "journey_key", "event_id", "place")
+    return sv.recent(stamped(t.a_recent), now()).select("user_id", "journey_key", "event_id", "place")
 
 
 _CHANGE = """SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'HOME' WHEN 'purchase' THEN 'WORK' ELSE 'CUSTOM' END AS kind,
@@ -251,7 +256,7 @@ def rc19(t):
 
 @query("rc19_offline_journeys", f"SELECT user_id, journey_key, max(ts) >= {NOW} - INTERVAL 30 DAY AS named FROM s_off WHERE result = 'OK' GROUP BY user_id, journey_key")
 def rc19_journeys(t):
-    return sv.offline_journeys(sv.offline_changes(stamped(t.a_recent)), now).drop("saved_at")
+    return sv.offline_journeys(sv.offline_changes(stamped(t.a_recent)), now()).drop("saved_at")
 
 
 @query("fn18_rc21_freshness", """SELECT event_id AS id, ts <= TIMESTAMP '2024-01-31 12:00:00' - INTERVAL 7 DAY AS saved_stale, TIMESTAMP '2024-01-31 12:00:00' > CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 10 DAY + to_seconds(86399) - to_minutes(330) AS service_ended,

@@ -11,7 +11,8 @@ DEGREE_METERS = 111_320.0
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH) -> Column:
     a = (F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2)
          + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2))
-    return F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # least() skips NULLs, so an unknown position must be kept unknown explicitly.
+    return F.when(a.isNotNull(), F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(a))))
 
 
 def box_degrees(meters: Column, lat: Column, floor: float = 0.1) -> Column:
