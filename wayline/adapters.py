@@ -238,9 +238,9 @@ SELECT c_custkey AS request_id,
        t.lat + (c_custkey % 17 - 8) * 1e-4 AS to_lat, t.lon + (c_custkey % 13 - 6) * 1e-4 AS to_lon,
        21600 + (c_custkey * 131) % 64800 AS depart_s, DATE '2024-01-03' + CAST(c_custkey % 3 AS INT) AS day,
        CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'FEWER_TRANSFERS' WHEN 'BUILDING' THEN 'LESS_WALKING' ELSE 'DEFAULT' END AS preference
-FROM customer c
-JOIN a_stop o ON o.stop_id = c_custkey % (SELECT count(*) FROM supplier)
-JOIN a_stop t ON t.stop_id = (c_custkey * 37 + 11) % (SELECT count(*) FROM supplier)"""
+FROM (SELECT c_custkey, c_mktsegment, c_custkey % n AS from_stop, (c_custkey * 37 + 11) % n AS to_stop
+      FROM (SELECT c_custkey, c_mktsegment, (SELECT count(*) FROM supplier) AS n FROM customer) x) c
+JOIN a_stop o ON o.stop_id = c.from_stop JOIN a_stop t ON t.stop_id = c.to_stop"""
 VIEWS["a_window"] = """
 SELECT request_id AS window_id, from_lat - 1e-2 AS south, from_lon - 1e-2 - (request_id % 3) * 4e-3 AS west,
        CASE WHEN request_id % 50 = 7 THEN from_lat - 2e-2 WHEN request_id % 50 = 8 THEN from_lat + 5e-2 WHEN request_id % 50 = 9 THEN 95e0

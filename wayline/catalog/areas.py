@@ -51,7 +51,6 @@ def gr7(t):
 
 @query("gr8_parent_cycles", "SELECT DISTINCT child AS area_id FROM o_chain WHERE child = parent AND depth <= 64")
 def gr8(t):
-    c = ar.parent_links(t.a_claim, stored(t)).join(stage(stored(t).select(F.col("area_id").alias("parent"))), "parent", "left_semi")
     single = (t.a_claim.join(stored(t).withColumnRenamed("area_id", "child"), "child", "left_semi").groupBy("child")
               .agg(F.countDistinct("parent").alias("n"), F.min("parent").alias("parent")).filter("n = 1").drop("n"))
     return ar.in_parent_cycle(stage(single.join(stored(t).withColumnRenamed("area_id", "parent"), "parent", "left_semi")))

@@ -38,5 +38,5 @@ def point_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by
     """Planar distance from a point to a segment."""
     dx, dy = bx - ax, by - ay
     n = dx * dx + dy * dy
-    t = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / n)))
+    t = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((px - ax) * dx + (py - ay) * dy, n))))
     return F.sqrt(F.pow(px - ax - t * dx, 2) + F.pow(py - ay - t * dy, 2))

@@ -187,7 +187,7 @@ def search(requests: DataFrame, access: DataFrame, egress: DataFrame, net: Netwo
         better = found.select("request_id", F.col("total").alias("best_total"), F.size("legs").alias("best_legs"))
         totals = stage(better.unionByName(totals.join(better, "request_id", "left_anti")))
     start = access.groupBy("request_id", F.col("stop_id").alias("first_stop")).agg(F.min("walk_s").alias("access_walk_s"))
-    d = reduce(DataFrame.unionByName, plans).withColumn("first_stop", F.col("legs")[0]["board_stop"])
+    d = reduce(DataFrame.unionByName, plans).withColumn("first_stop", F.get("legs", F.lit(0))["board_stop"])
     return stage(d.join(start, ["request_id", "first_stop"]).drop("first_stop"))
 
 
@@ -202,7 +202,7 @@ def resolve(plans: DataFrame, requests: DataFrame, net: Network, positions: Data
             .withColumn("ready_s", F.col("depart_s") + F.col("access_walk_s")).withColumn("rides", F.size("legs")))
     done = None
     for i in range(ROUNDS):
-        now = todo.filter(F.col("rides") > i).withColumn("leg", F.lit(i)).withColumn("l", F.col("legs")[i])
+        now = todo.filter(F.col("rides") > i).withColumn("leg", F.lit(i)).withColumn("l", F.get("legs", F.lit(i)))
         now = now.select("request_id", "round", "leg", "day", "ready_s", "rides", "legs", "l.*")
         run = tt.next_departure(now, key, net.departures, net.running)
         ride = (now.join(run, key).join(at, ["trip_id", "alight_idx"]).withColumn("alight_s", F.col("alight_s") + F.col("shift"))
@@ -210,7 +210,7 @@ def resolve(plans: DataFrame, requests: DataFrame, net: Network, positions: Data
         ride = stage(ride)
         done = ride.drop("legs") if done is None else done.unionByName(ride.drop("legs"))
         if i + 1 < ROUNDS:
-            nxt = ride.filter(F.col("rides") > i + 1).withColumn("next_stop", F.col("legs")[i + 1]["board_stop"])
+            nxt = ride.filter(F.col("rides") > i + 1).withColumn("next_stop", F.get("legs", F.lit(i + 1))["board_stop"])
             a = place.select(F.col("stop_id").alias("alight_stop"), F.col("lat").alias("alat"), F.col("lon").alias("alon"))
             b = place.select(F.col("stop_id").alias("next_stop"), F.col("lat").alias("blat"), F.col("lon").alias("blon"))
             gap = walk_seconds(haversine(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
@@ -280,7 +280,7 @@ def alternatives(requests: DataFrame, access: DataFrame, egress: DataFrame, net:
         found.append(built)
         planned.append(plans.select("request_id").distinct())
         ok = built.groupBy("request_id").agg(F.min_by("first_route", "round").alias("scheduled"))
-        any_plan = plans.groupBy("request_id").agg(F.min_by(F.col("legs")[0]["route_id"], "round").alias("planned"))
+        any_plan = plans.groupBy("request_id").agg(F.min_by(F.get("legs", F.lit(0))["route_id"], "round").alias("planned"))
         ban = any_plan.join(ok, "request_id", "left").select("request_id", F.coalesce("scheduled", "planned").alias("route_id"))
         banned = stage(banned.unionByName(ban))
         open_requests = stage(open_requests.join(ban, "request_id", "left_semi"))

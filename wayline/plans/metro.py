@@ -155,7 +155,7 @@ def line_patterns(calls: DataFrame, valid: DataFrame) -> DataFrame:
     step = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - 1), lambda i: F.concat(F.element_at(x, i), F.lit("|"), F.element_at(x, i + 1)))
     longer = p.withColumn("l", F.split("key", r"\|")).select("route_id", F.col("key").alias("long_key"), F.col("n").alias("long_n"),
                                                              F.explode(F.array_distinct(F.concat(step(F.col("l")), step(F.reverse("l"))))).alias("step"))
-    short = p.withColumn("l", F.split("key", r"\|")).withColumn("step", F.concat(F.col("l")[0], F.lit("|"), F.col("l")[1]))
+    short = p.withColumn("l", F.split("key", r"\|")).withColumn("step", F.concat(F.get("l", F.lit(0)), F.lit("|"), F.get("l", F.lit(1))))
     bar = lambda c: F.concat(F.lit("|"), c, F.lit("|"))
     inside = F.contains(bar(F.col("long_key")), bar(F.col("key"))) | F.contains(bar(F.array_join(F.reverse(F.split("long_key", r"\|")), "|")), bar(F.col("key")))
     lost = short.join(longer, ["route_id", "step"]).filter(F.col("long_n") > F.col("n")).filter(inside).select("route_id", "key").distinct()

@@ -63,7 +63,7 @@ def pattern_stops(stop_times: DataFrame, signed: DataFrame, trips: DataFrame, so
 
 
 def expected_wait(trip_count: Column, first: Column, last: Column) -> Column:
-    half = (last - first) / (trip_count - 1) / 2
+    half = F.try_divide(last - first, trip_count - 1) / 2
     return F.when((trip_count >= 2) & (last > first),
                   F.greatest(F.lit(120.0), F.least(F.lit(900.0), half)).cast("bigint")).otherwise(F.lit(900))
 
