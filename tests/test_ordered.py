@@ -39,3 +39,19 @@ def test_components_of_chain_and_hub(spark):
     nodes = spark.createDataFrame([(i,) for i in [*range(1, 30), *range(100, 161), 999]], "id bigint")
     got = {r.id: r.component for r in components(nodes, spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert {got[i] for i in range(1, 30)} == {1} and {got[i] for i in range(100, 161)} == {100} and got[999] == 999
+
+
+def test_components_do_not_depend_on_the_order_of_ids(spark):
+    chain = [(i, i + 1) for i in range(1, 80)] + [(80, 0)]
+    falling = [(i, i - 1) for i in range(280, 200, -1)]
+    order = random.Random(3).sample(range(300, 400), 100)
+    edges = chain + falling + list(zip(order, order[1:])) + [(500, 500), (501, None)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(81), *range(200, 281), *range(300, 400), 500, 501]], "id bigint")
+    got = {r.id: r.component for r in components(nodes, spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert {got[i] for i in range(81)} == {0} and {got[i] for i in range(200, 281)} == {200} and {got[i] for i in range(300, 400)} == {300}
+    assert got[500] == 500 and got[501] == 501
+
+
+def test_components_without_edges(spark):
+    nodes = spark.createDataFrame([(7,)], "id bigint")
+    assert components(nodes, spark.createDataFrame([], "a bigint, b bigint")).collect()[0].component == 7

@@ -2,8 +2,9 @@
 
 A staged table is written once to the shared folder the cluster names in ``spark.checkpoint.dir`` and read
 back: lineage is cut, a lost executor re-reads files instead of recomputing, later scans prune columns, and
-the optimizer knows the real size before it picks a join. Where the setting is absent (tests) a private
-temporary folder is used and removed when the process ends.
+the optimizer knows the real size before it picks a join. Where the setting is absent, a session on one machine
+(tests) gets a private temporary folder that is removed when the process ends, and a cluster gets a folder under its
+warehouse, which all executors share.
 """
 
 import tempfile
@@ -16,6 +17,8 @@ _private: list[tempfile.TemporaryDirectory] = []
 
 def folder(spark) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None and not spark.sparkContext.master.split("[")[0] == "local":
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
     if shared is None:
         if not _private:
             _private.append(tempfile.TemporaryDirectory(prefix="wayline-"))
