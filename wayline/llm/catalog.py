@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import exact_dedup, quality_rules
+from wayline.llm import exact_dedup, packing, quality_rules, token_counts as counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,19 @@ FROM m""")
 def op3(spark, sf_dir):
     return quality_rules.quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op5_token_counts")
+def op5(spark, sf_dir):
+    return counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), 512)
+
+
+@query("op9_best_fit_packing")
+def op9(spark, sf_dir):
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), 2, 1024), 1024)
