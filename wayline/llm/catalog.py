@@ -2,9 +2,9 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import exact_dedup, packing, quality_rules, token_counts as counts
+from wayline.llm import exact_dedup, language_id, packing, quality_rules, token_counts as counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,19 @@ def op5(spark, sf_dir):
 @query("op9_best_fit_packing")
 def op9(spark, sf_dir):
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), 2, 1024), 1024)
+
+
+@query("op10_language_id")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    return language_id.label(docs, model).select(
+        "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("bigint").alias("n_spans"))
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out()))
+    return toxicity.toxicity(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "worst")

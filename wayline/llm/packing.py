@@ -10,14 +10,16 @@ number depends on the lengths and not on the documents, so it may travel with th
 A null text counts as empty: one piece with the end token. Rows that repeat an id are packed like any others.
 """
 
+import os
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from wayline.llm.byte_bpe import Kept, Vocabulary
+from wayline.llm.byte_bpe import Kept
 from wayline.operators.stage import stage
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -29,23 +31,24 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.vocab = Tokenizer.from_file(path), Vocabulary(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept = Kept(self._library)
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, texts) -> None:
-        """Encodes the stretches of these texts that are not kept yet, all in one call."""
-        new = [x for x in {p for t in texts for p in t.split(" ")[1:]} if x not in self.kept and x and not x[0].isspace() and not x[-1].isspace()]
-        for at in range(0, len(new), 1 << 14):
-            part = new[at:at + (1 << 14)]
-            for x, e in zip(part, self.tokenizer.encode_batch([" " + x for x in part], add_special_tokens=False)):
-                self.kept[x] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        lead, *rest = text.split(" ")
-        if lead[-1:].isspace() or any(s in text for s in self.vocab.specials):
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Stretches that are not kept yet are encoded in one call for all texts."""
+        split = [t.split(" ") for t in texts]
+        new = [x for x in set().union(*split) if x not in self.kept and x and not x[0].isspace() and not x[-1].isspace()]
+        for x, e in zip(new, self.tokenizer.encode_batch_fast([" " + x for x in new], add_special_tokens=False)):
+            self.kept[x] = array("I", e.ids).tobytes()
+        return [self._joined(t, s) for t, s in zip(texts, split)]
+
+    def _joined(self, text: str, split: list[str]) -> bytes:
+        lead, *rest = split
+        if lead[-1:].isspace() or any(s in text for s in self.specials):
             return self._library(text)
         try:
             return (self._library(lead) if lead else b"") + b"".join(map(self.kept.__getitem__, rest))
@@ -58,6 +61,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
@@ -72,9 +76,8 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int, with_ids: bool =
             rows = []
             texts = b["text"].fillna("").tolist()
             for at in range(0, len(texts), 512):
-                e.learn(texts[at:at + 512])
-                for doc, text in zip(b["doc_id"].iloc[at:at + 512], texts[at:at + 512]):
-                    ids = e.encode(text) + end
+                for doc, ids in zip(b["doc_id"].iloc[at:at + 512], e.encode(texts[at:at + 512])):
+                    ids += end
                     n = len(ids) // 4
                     cuts = [0, *range(n % size or min(size, n), n + 1, size)]
                     for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
@@ -170,7 +173,7 @@ def places(templates: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.n
 def pack(parts: DataFrame, size: int) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces; they are staged first, as the plan and the ranks read them too."""
     spark = parts.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = stage(parts.withColumn("_row", F.monotonically_increasing_id()).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "_row"), F.lit(buckets))))
     by = stage(parts.groupBy("length", "_bucket").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in by.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
