@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import exact_dedup, language_id, packing, quality_rules, token_counts as counts, toxicity
+from wayline.llm import exact_dedup, language_id, ngram_join, packing, quality_rules, token_counts as counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,8 @@ def op4(spark, sf_dir):
     model = toxicity.fit(docs, labels.filter(~toxicity.held_out()))
     return toxicity.toxicity(docs, model).select(
         "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "worst")
+
+
+@query("op1_ngram_jaccard_join")
+def op1(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
