@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import exact_dedup, language_id, ngram_join, packing, quality_rules, token_counts as counts, toxicity
+from wayline.llm import exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, token_counts as counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,22 @@ def op4(spark, sf_dir):
 @query("op1_ngram_jaccard_join")
 def op1(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_line_dedup")
+def op2(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+#: Weights of the registered mix: relative whole numbers per level of the tree.
+WEIGHTS = {"domain": {"d0": 40, "d1": 20, "d2": 20, "d3": 20}, "lang": {"en": 40, "de": 20, "fr": 20, "es": 20}, "source": {"src0": 3}}
+
+
+@query("op7_mix_sources")
+def op7(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), 0.6, 2, WEIGHTS, 17).drop("text_key")
+
+
+@query("op8_license_scan")
+def op8(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
