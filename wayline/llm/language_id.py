@@ -76,7 +76,7 @@ class Model:
         s, out = f"^^{letters}$", []
         for k in range(len(self.langs)):
             if k not in use:
-                out.append(-50.0)
+                out.append(-math.inf)
                 continue
             g, p = self.grams[k], self.pairs[k]
             spelled = sum(math.log((g.get(s[i:i + 3], 0) + 0.1) / (p.get(s[i:i + 2], 0) + 5.0)) for i in range(len(s) - 2))

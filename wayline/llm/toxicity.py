@@ -260,6 +260,16 @@ class Margins(dict):
         self.update(zip(new, table.margins([normal(w) for w in new]).tolist()))
 
 
+def _scored(texts: list, known: Margins, table: Table):
+    """(score, worst word) of each text."""
+    for at in range(0, len(texts), 512):
+        split = [words_of(x) if isinstance(x, str) else [] for x in texts[at:at + 512]]
+        known.learn(table, set().union(*split))
+        for words in split:
+            top = max(words, key=known.__getitem__, default=None)
+            yield (0.0, None) if top is None else (float(table.probability(known[top])), top)
+
+
 def toxicity(docs: DataFrame, table: Table | None) -> DataFrame:
     """Per row: ``doc_id``, ``score`` (0 to 1) and ``worst``, the word it comes from."""
     if table is None:
@@ -267,20 +277,30 @@ def toxicity(docs: DataFrame, table: Table | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)  # one value per triple of the alphabet
 
     def run(batches):
-        known, t = Margins(), shared.value
+        known = Margins()
         for b in batches:
-            texts, score, worst = b["text"].tolist(), [], []
-            for at in range(0, len(texts), 512):
-                split = [words_of(x) if isinstance(x, str) else [] for x in texts[at:at + 512]]
-                known.learn(t, set().union(*split))
-                for words in split:
-                    top = max(words, key=known.__getitem__, default=None)
-                    worst.append(top)
-                    score.append(0.0 if top is None else float(t.probability(known[top])))
-            yield b[["doc_id"]].assign(score=score, worst=worst)
+            got = list(_scored(b["text"].tolist(), known, shared.value))
+            yield b[["doc_id"]].assign(score=[x for x, _ in got], worst=[w for _, w in got])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, score double, worst string")
 
 
+def kept(docs: DataFrame, table: Table | None, limit: float = DECIDED) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``."""
+    if table is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = Margins()
+        for b in batches:
+            got = _scored(b.column("text").to_pylist(), known, shared.value)
+            yield b.filter(pa.array([x < limit for x, _ in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
