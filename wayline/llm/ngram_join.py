@@ -216,7 +216,8 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
              .join(classes.select("cid", "signature"), "cid").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "cid"))
     found = stage(candidates(units, threshold, tolerance))
     wanted = stage(found.select("cid").distinct().join(classes.select("cid", "rep", "size", "low", "high"), "cid"))
-    texts = stage(_own_text(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep"), n))
+    # What is wanted grows with the input: never a broadcast.
+    texts = stage(_own_text(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted.hint("merge"), "rep"), n))
     units = found.join(texts, "cid").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "cid")
     checked = stage(verify(units, n, threshold))
     links = checked.groupBy("cid").agg(F.sum("links").alias("links"))
