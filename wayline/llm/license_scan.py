@@ -24,27 +24,42 @@ KNOWN = [
 # Words that count as the same.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("copyright holder", "copyright owner"),
              ("favour", "favor"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("per cent", "percent"), ("whilst", "while")]
-COPYRIGHT = r"(?im)^\W*(?:copyright|\(c\)|©)\W.*$"
+COPYRIGHT = r"(?i)^\W*(?:copyright|\(c\)|©)\W"
 
 
-def canonical(text: Column) -> Column:
-    """Lower-case words with single spaces."""
-    t = F.when(text.rlike("(?i)copyright|\\(c\\)|©"), F.regexp_replace(text, COPYRIGHT, " ")).otherwise(text)
-    t = F.concat(F.lit(" "), F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+def words_of(line: Column) -> Column:
+    """Lower-case words with single spaces; a copyright line has none."""
+    return F.when(line.rlike(COPYRIGHT), F.lit("")).otherwise(F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " ")))
+
+
+def spelled(words: Column) -> Column:
+    """Equivalent spellings brought to one."""
+    t = F.concat(F.lit(" "), words, F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(F.regexp_replace(t, " +", " "))
+    return F.trim(t)
+
+
+def joined(lines: Column) -> Column:
+    """Canonical words of a text from those of its lines."""
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    d = spark.createDataFrame(list(known), "license string, notice string").withColumn("c", canonical(F.col("notice")))
-    return d.filter("c <> ''").select("license", F.sha2("c", 256).alias("digest")).distinct()
+    d = spark.createDataFrame(list(known), "license string, notice string")
+    d = d.select("license", F.transform(F.split("notice", "\n"), words_of).alias("lines")).select("license", spelled(joined(F.col("lines"))).alias("c"))
+    return d.filter("c <> ''").select("license", F.sha2("c", 256).alias("digest"), F.length("c").alias("size")).distinct()
 
 
 def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     """Per document and licence found: ``license``, ``n_lines`` that state it, ``whole_text``."""
-    parts = docs.select("doc_id", F.lit(True).alias("whole"), F.col("text").alias("part")).filter("part is not null").unionByName(
-        docs.select("doc_id", F.lit(False).alias("whole"), F.explode(F.split("text", "\n")).alias("part")))
-    digests = parts.select("doc_id", "whole", canonical(F.col("part")).alias("c")).filter("c <> ''").select("doc_id", "whole", F.sha2("c", 256).alias("digest"))
-    found = digests.join(F.broadcast(known_digests(docs.sparkSession, known)), "digest")  # as many rows as the fixed list
+    digests = known_digests(docs.sparkSession, known)
+    # A spelling shortens a text by less than half, so words more than twice as long as every known text can match none.
+    longest = 2 * (digests.agg(F.max("size")).first()[0] or 0)
+    lines = docs.filter("text is not null").select("doc_id", F.split("text", "\n").alias("raw")).select("doc_id", F.transform("raw", words_of).alias("lines"))
+    size = F.aggregate("lines", F.lit(0), lambda n, x: n + F.length(x))
+    whole = F.when(size <= longest, F.array(F.struct(F.lit(True).alias("whole"), joined(F.col("lines")).alias("c")))).otherwise(F.array().cast("array<struct<whole:boolean,c:string>>"))
+    short = F.transform(F.filter("lines", lambda x: (x != "") & (F.length(x) <= longest)), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("c")))
+    parts = lines.select("doc_id", F.explode(F.concat(whole, short)).alias("p")).select("doc_id", "p.whole", spelled(F.col("p.c")).alias("c")).filter("c <> ''")
+    found = parts.select("doc_id", "whole", F.sha2("c", 256).alias("digest")).join(F.broadcast(digests.select("license", "digest")), "digest")  # as many rows as the fixed list
     return found.groupBy("doc_id", "license").agg(F.sum((~F.col("whole")).cast("bigint")).alias("n_lines"), F.max("whole").alias("whole_text"))
