@@ -13,6 +13,7 @@ to ``FIT_CHARS`` characters). Null and empty texts score 0; without labels of bo
 """
 
 import re
+import sys
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -26,7 +27,7 @@ _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def normal(word: str) -> str:
-    return _EDGES.sub("", word.lower())
+    return sys.intern(_EDGES.sub("", word.lower()))
 
 
 def codes(words: list[str]) -> np.ndarray:
@@ -119,7 +120,7 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     index = np.full(SIGNS ** 3, len(place))
     index[list(place)] = list(place.values())
     out = np.zeros((len(words), len(marks)))
-    for at, part in by_length(words, 512):
+    for at, part in by_length(words, 96):
         t, w = triples(part)
         rows = dense[index[t]] * w[None, :, None]
         out[at] = rows.sum(1) / norms(t, w)[:, None]
@@ -214,10 +215,10 @@ def train(toxic: list[list[list[str]]], clean: list[list[list[str]]], seed: int
             for x, v in d.items():
                 weights[x] += a * v
         table = Table(weights, float(w[-1]))
-        margin = dict(zip(vocabulary, table.margins(vocabulary)))
+        margin = dict(zip(vocabulary, table.margins(vocabulary).tolist()))
         hard = sorted((w for w in vocabulary if margin[w] > -0.8), key=lambda w: (-margin[w], w))[:4000]
         mine = sorted(held)
-        of = dict(zip(mine, table.margins(mine)))
+        of = dict(zip(mine, table.margins(mine).tolist()))
         look = lambda w: of[w] + 0.1 * odds(w)
         worst = [max((max(s, key=look) for s in d if s), key=look) for d in bags]
     tops = np.array([max(of[w] for s in d for w in s) for d in bags] + [max((margin[w] for w in d), default=-2.0) for d in clean_docs])
@@ -247,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Table | None:
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= FIT_CHARS)
             .select("doc_id", "toxic", "text").distinct().collect())
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([sentences(r["text"]) for r in rows if r["toxic"] == 1], [sentences(r["text"]) for r in rows if r["toxic"] == 0])
+    return train([sentences(r["text"]) for r in rows if r["toxic"] == 1], [[sorted({w for x in sentences(r["text"]) for w in x})] for r in rows if r["toxic"] == 0])
 
 
 class Margins(dict):
