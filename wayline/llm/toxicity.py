@@ -204,7 +204,7 @@ def train(toxic: list[list[list[str]]], clean: list[list[list[str]]], seed: int
         landmarks = list(dict.fromkeys(good[:LANDMARKS - len(near)] + near))
         words = good + spread + bad
         y = np.array([1.0] * (len(good) + len(spread)) + [-1.0] * len(bad))
-        cost = np.array([np.sqrt(counts[w]) * 4 for w in good] + [2.0] * len(spread) + [np.sqrt(1 + seen.get(w, 0)) for w in bad])
+        cost = np.array([np.sqrt(counts[w]) * 4 for w in good] + [8.0] * len(spread) + [np.sqrt(1 + seen.get(w, 0)) for w in bad])
         gram = _kernel(landmarks, landmarks)
         value, vector = np.linalg.eigh((gram + gram.T) / 2 + 1e-6 * np.eye(len(landmarks)))
         root = vector / np.sqrt(np.maximum(value, 1e-6))
