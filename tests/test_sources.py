@@ -16,8 +16,8 @@ def test_table_scan(spark, tmp_path):
     with pytest.raises(ValueError):
         gtfs.table(spark, str(f), ["stop_id", "stop_lat"])
     assert gtfs.table(spark, str(tmp_path / "none.txt"), ["a"]).count() == 0
-    with pytest.raises(ValueError):
-        gtfs.within_cap(spark.range(3), 2)
+    with pytest.raises(FileNotFoundError):
+        gtfs.table(spark, str(tmp_path / "none.txt"), ["a"], needed=True)
 
 
 def test_unzip(spark, tmp_path):

@@ -41,8 +41,8 @@ FROM (SELECT DISTINCT o_orderpriority AS service_id,
 # last write wins per (service, date)
 VIEWS["a_service_date_raw"] = """
 SELECT event_id AS row_pos, CAST(user_id % 7 AS INT) AS d, CAST(ts AS DATE) AS service_date,
-       event_type = 'signup' AS added
-FROM events WHERE event_type IN ('signup', 'error')"""
+       event_type NOT IN ('error', 'click') AS added
+FROM events"""
 VIEWS["a_trip"] = """
 SELECT o_orderkey AS trip_id, tpl, CAST(floor(tpl / 2) AS BIGINT) AS route_id, o_orderpriority AS service_id,
        18000 + (o_orderkey * 97) % 72000 AS start_s,
@@ -182,7 +182,7 @@ SELECT DISTINCT l_orderkey AS session_id,
             ELSE concat('nation nation_', CAST(l_partkey % 25 AS VARCHAR(20))) END AS name_key,
        CASE l_partkey % 4 WHEN 0 THEN 'CITY' WHEN 1 THEN 'TOWN' WHEN 2 THEN 'VILLAGE' ELSE 'SUBURB' END AS area_type,
        CAST(l_partkey % 25 + CASE WHEN l_partkey % 3 = 0 THEN 100 ELSE 0 END AS BIGINT) AS area_id
-FROM lineitem WHERE l_returnflag = 'A'"""
+FROM lineitem"""
 
 VIEWS["a_leg"] = """
 SELECT session_id, route_id, 0 AS leg, CASE l_suppkey % 8 WHEN 0 THEN 'SUBWAY' WHEN 1 THEN ' metro_rail ' WHEN 2 THEN 'BUS' WHEN 3 THEN 'TRAM'

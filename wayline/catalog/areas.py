@@ -1,8 +1,11 @@
 """Area import, provider responses, polylines, feed scans and area quality."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wayline.functions.geo import EARTH, point_segment, wrapped
+from wayline.operators import constraints as cn
 from wayline.operators.stage import folder, stage
 from wayline.plans import areas as ar, bus_quality as q, detect as dt
 from wayline.registry import PARTS, query
@@ -75,12 +78,12 @@ def dq1(t):
     a = q.flags(t.a_osm, {"missing name": F.trim(F.coalesce(name, F.lit(""))) == "", "stray whitespace": (name != F.trim(name)) | name.rlike(r"\s{2,}")})
     lost = t.a_claim.join(t.part.select(F.col("p_partkey").alias("parent")), "parent", "left_anti")
     return a.unionByName(q.flags(t.a_claim, {"own parent": F.col("child") == F.col("parent")})).unionByName(
-        q.report({"parent missing": lost, "duplicate identity": q.repeated(t.a_claim, "child")}))
+        cn.violations({"parent missing": lost, "duplicate identity": cn.not_unique(t.a_claim, "child")}))
 
 
 @query("ag14_dq2_repeated_names", "SELECT lower(trim(name)) AS name, area_type, count(*) AS records FROM a_rect GROUP BY 1, 2 HAVING count(*) > 1")
 def ag14(t):
-    return q.repeated(t.a_rect.withColumn("name", F.lower(F.trim("name"))), "name", "area_type")
+    return cn.not_unique(t.a_rect.withColumn("name", F.lower(F.trim("name"))), "name", "area_type")
 
 
 # ---- polylines
@@ -148,6 +151,6 @@ def src9_totals(t):
 
 @query("src1_src2_feed_scan", "SELECT trip_id, route_id, service_id, trim(trip_headsign) AS trip_headsign, '' AS block_id FROM raw_trip")
 def src1(t):
-    path = f"{folder(t.spark)}/feed-{id(t)}/trips"
+    path = f"{folder(t.spark)}/feed-{uuid.uuid4().hex}/trips"
     t.raw_trip.select("trip_id", "route_id", "service_id", "trip_headsign").write.mode("overwrite").csv(path, header=True, escape='"', quote='"')
     return gtfs.table(t.spark, path, ["trip_id", "route_id", "service_id"], ["trip_headsign", "block_id"]).drop("row_pos")

@@ -13,7 +13,7 @@ SELECT session_id, key, route_id, idx, quality, area_type, arg_min(area_id, sequ
  SELECT a.*, concat({NORM.format(c='a.name')}, '|', a.area_type) AS key,
    CASE WHEN {NORM.format(c='a.name')} = s.term THEN 'exact' WHEN starts_with({NORM.format(c='a.name')}, s.term) THEN 'prefix'
         WHEN contains({NORM.format(c='a.name')}, s.term) THEN 'contains' END AS quality
- FROM (SELECT session_id, {NORM.format(c='substring(query, 1, 100)')} AS term FROM a_search) s JOIN a_option_area a ON a.session_id = s.session_id
+ FROM (SELECT session_id, {NORM.format(c='query')} AS term FROM a_search) s JOIN a_option_area a ON a.session_id = s.session_id
  WHERE s.term <> '') x WHERE quality IS NOT NULL GROUP BY session_id, key, route_id, idx, quality, area_type"""
 PARTS["c_result"] = """
 SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY CASE quality WHEN 'exact' THEN 0 WHEN 'prefix' THEN 1 ELSE 2 END, first_idx, key) AS rank FROM (
@@ -42,7 +42,7 @@ def rc1(t):
 
 @query("rc1_outcome", f"""
 SELECT s.session_id, CASE WHEN NOT EXISTS (SELECT 1 FROM a_option o WHERE o.session_id = s.session_id) THEN 'no-routes'
- WHEN {NORM.format(c='substring(s.query, 1, 100)')} = '' THEN 'empty-query'
+ WHEN {NORM.format(c='s.query')} = '' THEN 'empty-query'
  WHEN NOT EXISTS (SELECT 1 FROM c_result r WHERE r.session_id = s.session_id) THEN 'no-match' ELSE 'found' END AS status FROM a_search s""")
 def rc1_outcome(t):
     return c.search_outcome(t.a_search, t.a_option, searched(t)[1])

@@ -186,13 +186,13 @@ def network(t) -> b.Network:
 def planned(t):
     net = network(t)
     req = stage(b.settings(t.a_request))
-    access, egress = b.request_stops(req, net)
+    access, egress = b.request_stops(req, net, b.CANDIDATES, b.ACCESS_STOPS)
     return net, req, access, egress
 
 
 def scheduled(t):
     net, req, access, egress = planned(t)
-    plans = b.search(req, access, egress, net)
+    plans = b.search(req, access, egress, net, rounds=b.ROUNDS)
     return net, req, plans, b.resolve(plans, req, net, net._positions)
 
 
@@ -204,10 +204,10 @@ def jn6(t):
     return nb.footpaths(t.a_stop.filter("active"), 300).select("from_id", "stop_id", r3("meters"))
 
 
-@query("jn5_nearest_stops", "SELECT request_id, stop_id, round(meters, 3) AS meters, rank FROM n_near_from WHERE rank <= 60")
+@query("jn5_nearest_stops", "SELECT request_id, stop_id, round(meters, 3) AS meters, rank FROM n_near_from")
 def jn5(t):
     pts = t.a_request.select("request_id", F.col("from_lat").alias("plat"), F.col("from_lon").alias("plon"))
-    return (nb.nearest(pts, "request_id", t.a_stop.filter("active").select("stop_id", "lat", "lon"), 1500, 60)
+    return (nb.nearest(pts, "request_id", t.a_stop.filter("active").select("stop_id", "lat", "lon"), 1500)
             .select("request_id", "stop_id", r3("meters"), "rank"))
 
 
@@ -221,12 +221,11 @@ def val3(t):
 
 
 @query("jn7_window_stops", f"""
-SELECT window_id, stop_id, place, n > 20 AS truncated FROM (SELECT w.window_id, s.stop_id, row_number() OVER (PARTITION BY w.window_id ORDER BY s.stop_name, s.stop_id) AS place,
- count(*) OVER (PARTITION BY w.window_id) AS n FROM a_window w JOIN a_stop s ON s.lat BETWEEN w.south AND w.north AND s.lon BETWEEN w.west AND w.east
- WHERE s.active AND {_WIN} IS NULL AND s.stop_id IN (SELECT stop_id FROM o_pattern_stop)) x WHERE place <= 20""")
+SELECT w.window_id, s.stop_id, row_number() OVER (PARTITION BY w.window_id ORDER BY s.stop_name, s.stop_id) AS place FROM a_window w JOIN a_stop s ON s.lat BETWEEN w.south AND w.north AND s.lon BETWEEN w.west AND w.east
+ WHERE s.active AND {_WIN} IS NULL AND s.stop_id IN (SELECT stop_id FROM o_pattern_stop)""")
 def jn7(t):
     served = t.a_stop.filter("active").join(layer(t).stops, "stop_id", "left_semi")
-    return nb.window_stops(t.a_window, served, 20)
+    return nb.window_stops(t.a_window, served)
 
 
 @query("jn8_services_on", "SELECT day, service_id FROM n_running")
@@ -311,7 +310,7 @@ FROM (SELECT * REPLACE (CAST(round AS BIGINT) AS round) FROM z0_plan)""")
 def bj8(t):
     net, req, access, egress = planned(t)
     leg = lambda x: F.concat(x["pattern_id"], F.lit(":"), x["board_idx"].cast("string"), F.lit("-"), x["alight_idx"].cast("string"))
-    return b.search(req, access, egress, net).select("request_id", "round", "total", "egress_stop", "egress_walk_s", "access_walk_s",
+    return b.search(req, access, egress, net, rounds=b.ROUNDS).select("request_id", "round", "total", "egress_stop", "egress_walk_s", "access_walk_s",
                                                      F.size("legs").alias("rides"), F.array_join(F.transform("legs", leg), ",").alias("legs"))
 
 
@@ -381,7 +380,7 @@ def bj16(t):
 @query("bj10_bj12_alternatives", f"SELECT request_id, CAST(attempt AS BIGINT) AS attempt, CAST(round AS BIGINT) AS round, place, {_J} FROM z_place")
 def bj10(t):
     net, req, access, egress = planned(t)
-    return b.alternatives(req, access, egress, net, net._positions)[0]
+    return b.alternatives(req, access, egress, net, net._positions, b.ALTERNATIVES, b.ROUNDS, b.ALTERNATIVES)[0]
 
 
 @query("bj13_reasons", """
@@ -389,5 +388,5 @@ SELECT r.request_id, CASE WHEN r.request_id NOT IN (SELECT request_id FROM n_fro
  WHEN r.request_id IN (SELECT request_id FROM z_place) THEN 'NONE' WHEN r.request_id IN (SELECT request_id FROM z0_plan) THEN 'NO_SERVICE' ELSE 'NO_JOURNEY' END AS reason FROM a_request r""")
 def bj13(t):
     net, req, access, egress = planned(t)
-    built, any_plan = b.alternatives(req, access, egress, net, net._positions)
+    built, any_plan = b.alternatives(req, access, egress, net, net._positions, b.ALTERNATIVES, b.ROUNDS, b.ALTERNATIVES)
     return b.reasons_for(req, access, egress, any_plan, built)

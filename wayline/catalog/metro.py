@@ -6,7 +6,8 @@ from wayline.catalog.bus_feed import CLEAN, R6, judged
 from wayline.catalog.journeys import hav
 from wayline.operators.accept import accepted
 from wayline.operators.stage import stage
-from wayline.plans import bus_quality as q, metro as m
+from wayline.operators import constraints as cn
+from wayline.plans import metro as m
 from wayline.registry import PARTS, query
 
 
@@ -110,7 +111,7 @@ def gr1(t):
 @query("ag7_ag8_station_records", """
 SELECT *, CASE WHEN has_child THEN CASE WHEN n_eff = 1 THEN one_eff ELSE 'UNKNOWN' END ELSE pacc END AS wheelchair FROM (
  SELECT m.station, coalesce(min(CASE WHEN k.kind = 1 THEN p.name END), arg_min(k.name, (k.note, k.stop_id))) AS name, floor(coalesce(min(p.lat), avg(k.lat)) * 1e6 + 0.5e0) / 1e6 AS lat,
-  floor(coalesce(min(p.lon), avg(k.lon)) * 1e6 + 0.5e0) / 1e6 AS lon, array_to_string(list_slice(list(k.stop_id ORDER BY k.stop_id), 1, 12), ',') AS stop_ids, count(*) AS stop_count
+  floor(coalesce(min(p.lon), avg(k.lon)) * 1e6 + 0.5e0) / 1e6 AS lon, array_to_string(list(k.stop_id ORDER BY k.stop_id), ',') AS stop_ids, count(*) AS stop_count
  FROM k_ok k JOIN k_member m ON m.stop_id = k.stop_id LEFT JOIN k_parent p ON p.station = m.station GROUP BY m.station) a
 JOIN (SELECT m.station AS st, bool_or(k.kind <> 1) AS has_child, coalesce(min(p.acc), 'UNKNOWN') AS pacc,
   count(DISTINCT CASE WHEN k.kind <> 1 THEN CASE k.wheelchair_boarding WHEN '1' THEN 'ACCESSIBLE' WHEN '2' THEN 'INACCESSIBLE' ELSE coalesce(p.acc, 'UNKNOWN') END END) AS n_eff,
@@ -213,7 +214,7 @@ UNION ALL SELECT 'station line links', count(*) FROM k_link_line UNION ALL SELEC
 def dq8(t):
     f = feed(t)
     links = m.station_lines(f.patterns)
-    return q.report({"stations": links.select("station").distinct(), "services": f.lines, "logical lines": f.groups.select("group_id").distinct(),
+    return cn.violations({"stations": links.select("station").distinct(), "services": f.lines, "logical lines": f.groups.select("group_id").distinct(),
                      "station line links": links, "connections": f.connections, "trips imported": f.valid})
 
 
@@ -239,7 +240,7 @@ def dq10(t):
     off = f.connections.join(ends, ["route_id", "from_station", "to_station"], "left_anti")
     per = links.groupBy("route_id", "number").agg(F.min("sequence").alias("a"), F.max("sequence").alias("b"), F.count(F.lit(1)).alias("c"))
     first = f.stop.join(f.member, "stop_id").groupBy("station").agg(F.min_by(F.struct("lat", "lon"), "row_pos").alias("f")).select("station", "f.lat", "f.lon")
-    return q.report({"station without line": f.member.select("station").distinct().join(links, "station", "left_anti"),
+    return cn.violations({"station without line": f.member.select("station").distinct().join(links, "station", "left_anti"),
                      "line without connections": f.lines.join(f.connections, "route_id", "left_anti"), "line without colour": f.lines.filter("color is null"),
                      "sequence gaps": per.filter("a <> 1 or b <> c"), "connection off pattern": off,
-                     "identical positions": q.repeated(first, "lat", "lon")})
+                     "identical positions": cn.not_unique(first, "lat", "lon")})

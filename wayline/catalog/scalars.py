@@ -1,5 +1,7 @@
 """Scalar functions over whole columns, request rules, snapshot merge, saved and recent journeys."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wayline.functions import display as ds, scalars as s, text as tx
@@ -16,7 +18,7 @@ SPC = "[ \\t\\n\\x0B\\f\\r\\x{85}\\p{Z}]+"
 
 
 def shown(c: str) -> str:
-    return f"trim(substring(trim(regexp_replace(regexp_replace(nfc_normalize({c}), '{CTL}', '', 'g'), '{SPC}', ' ', 'g')), 1, 255))"
+    return f"trim(regexp_replace(regexp_replace(nfc_normalize({c}), '{CTL}', '', 'g'), '{SPC}', ' ', 'g'))"
 
 
 def key_of(c: str) -> str:
@@ -184,7 +186,7 @@ def mg6(t):
 
 @query("mg4_mg5_published", "SELECT external_id, name FROM a_snapshot_new")
 def mg5(t):
-    root = f"{folder(t.spark)}/published-{id(t)}"
+    root = f"{folder(t.spark)}/published-{uuid.uuid4().hex}"
     mg.publish({"stops": t.a_snapshot_old.select("external_id", "name")}, root, "v1")
     mg.publish({"stops": t.a_snapshot_new.select("external_id", "name")}, root, "v2")
     return mg.current(t.spark, root, "stops")
@@ -216,7 +218,7 @@ stamped = lambda d: d.withColumn("ts", F.col("ts").cast("timestamp"))
 @query("sl7_rc18_recent", f"""SELECT user_id, journey_key, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM (
  SELECT user_id, journey_key, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM a_recent WHERE ts >= {NOW} - INTERVAL 30 DAY GROUP BY user_id, journey_key) x) y WHERE place <= 10""")
 def sl7(t):
-    return sv.recent(stamped(t.a_recent), now()).select("user_id", "journey_key", "event_id", "place")
+    return sv.recent(stamped(t.a_recent), now(), sv.MAX_RECENT).select("user_id", "journey_key", "event_id", "place")
 
 
 _CHANGE = """SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'HOME' WHEN 'purchase' THEN 'WORK' ELSE 'CUSTOM' END AS kind,
@@ -235,13 +237,13 @@ FROM s_slot s LEFT JOIN s_in i ON i.user_id = s.user_id AND i.slot = s.slot"""
 
 @query("rc17_place_changes", "SELECT event_id, user_id, clean, result FROM s_result")
 def rc17(t):
-    return sv.place_changes(t.sql(_CHANGE))
+    return sv.place_changes(t.sql(_CHANGE), sv.MAX_SAVED, sv.MAX_LABEL)
 
 
 @query("rc17_saved_places", "SELECT user_id, clean AS label, arg_max(place_id, event_id) AS place_id FROM s_result WHERE result = 'OK' GROUP BY user_id, clean")
 def rc17_places(t):
     ch = t.sql(_CHANGE)
-    return sv.saved_places(ch, sv.place_changes(ch))
+    return sv.saved_places(ch, sv.place_changes(ch, sv.MAX_SAVED, sv.MAX_LABEL))
 
 
 PARTS["s_off"] = """
@@ -251,12 +253,12 @@ SELECT r.*, CASE WHEN i.journey_key IS NULL THEN 'LIMIT' ELSE 'OK' END AS result
 
 @query("rc19_offline_changes", "SELECT event_id, user_id, journey_key, result FROM s_off")
 def rc19(t):
-    return sv.offline_changes(stamped(t.a_recent)).drop("ts")
+    return sv.offline_changes(stamped(t.a_recent), sv.MAX_OFFLINE).drop("ts")
 
 
 @query("rc19_offline_journeys", f"SELECT user_id, journey_key, max(ts) >= {NOW} - INTERVAL 30 DAY AS named FROM s_off WHERE result = 'OK' GROUP BY user_id, journey_key")
 def rc19_journeys(t):
-    return sv.offline_journeys(sv.offline_changes(stamped(t.a_recent)), now()).drop("saved_at")
+    return sv.offline_journeys(sv.offline_changes(stamped(t.a_recent), sv.MAX_OFFLINE), now()).drop("saved_at")
 
 
 @query("fn18_rc21_freshness", """SELECT event_id AS id, ts <= TIMESTAMP '2024-01-31 12:00:00' - INTERVAL 7 DAY AS saved_stale, TIMESTAMP '2024-01-31 12:00:00' > CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 10 DAY + to_seconds(86399) - to_minutes(330) AS service_ended,
@@ -268,10 +270,10 @@ def fn18(t):
     return sv.freshness(d, F.lit("2024-01-31 12:00:00").cast("timestamp"))
 
 
-@query("fn17_labels", """SELECT doc_id, CASE WHEN length(l) BETWEEN 1 AND 80 THEN l END AS label, regexp_full_match(source, '[A-Za-z0-9_-]+') AND length(source) BETWEEN 1 AND 512 AS place_id
+@query("fn17_labels", """SELECT doc_id, CASE WHEN length(l) >= 1 THEN l END AS label, regexp_full_match(source, '[A-Za-z0-9_-]+') AS place_id
 FROM (SELECT doc_id, source, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x1F\\x7F-\\x9F]', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS l FROM documents) x""")
 def fn17(t):
-    return t.documents.select("doc_id", tx.clean_label(F.col("text"), 80).alias("label"), tx.is_place_id(F.col("source")).alias("place_id"))
+    return t.documents.select("doc_id", tx.clean_label(F.col("text")).alias("label"), tx.is_place_id(F.col("source")).alias("place_id"))
 
 
 _DOC = """SELECT event_id AS doc_id, CASE WHEN event_id % 13 = 1 THEN NULL WHEN event_id % 17 = 1 THEN 'not json' ELSE concat(chr(123), '"version":', CASE WHEN event_id % 11 = 1 THEN '2' ELSE '1' END, ',"saved":[',

@@ -9,8 +9,6 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-MAX_NAME = 255
-
 # The invisible characters and the white space each rule recognises.
 CONTROL_OR_FORMAT = r"[\p{Cc}\p{Cf}&&[^ \t\n\x0B\f\r]]"
 UNICODE_SPACE = r"[ \t\n\x0B\f\r\x85\p{Z}]+"
@@ -48,10 +46,9 @@ def nfd(c: Column) -> Column:
 
 
 def display(raw: Column) -> Column:
-    """Composed, control characters removed, white space collapsed, at most 255 characters; '' for NULL."""
+    """Composed, control characters removed, white space collapsed; '' for NULL."""
     c = F.regexp_replace(nfc(F.coalesce(raw, F.lit(""))), CONTROL_OR_FORMAT, "")
-    c = F.trim(F.regexp_replace(c, UNICODE_SPACE, " "))
-    return F.trim(F.substring(c, 1, MAX_NAME))
+    return F.trim(F.regexp_replace(c, UNICODE_SPACE, " "))
 
 
 def no_text(raw: Column) -> Column:
@@ -107,10 +104,12 @@ def blank_to_null(c: Column) -> Column:
     return F.when(~blank(c), F.trim(c))
 
 
-def clean_label(c: Column, longest: int) -> Column:
+def clean_label(c: Column, longest: int | None = None) -> Column:
     label = F.trim(F.regexp_replace(F.regexp_replace(c, LABEL_CONTROL, " "), r"\s+", " "))
-    return F.when(F.length(label).between(1, longest), label)
+    fits = F.length(label) >= 1
+    return F.when(fits if longest is None else fits & (F.length(label) <= longest), label)
 
 
-def is_place_id(c: Column) -> Column:
-    return F.coalesce(F.length(c).between(1, 512) & c.rlike("^[A-Za-z0-9_-]+$"), F.lit(False))
+def is_place_id(c: Column, longest: int | None = None) -> Column:
+    ok = c.rlike(r"^[A-Za-z0-9_-]+\z")
+    return F.coalesce(ok if longest is None else ok & (F.length(c) <= longest), F.lit(False))

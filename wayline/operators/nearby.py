@@ -29,10 +29,15 @@ def within(points: DataFrame, stops: DataFrame, meters: float, cos_floor: float
             .filter(F.col("meters") <= meters))
 
 
-def nearest(points: DataFrame, key: str, stops: DataFrame, meters: float, limit: int) -> DataFrame:
-    """The ``limit`` nearest stops of each point inside a radius (ties by stop id)."""
+def first_ranks(df: DataFrame, limit: int | None, rank: str = "rank") -> DataFrame:
+    """The rows up to a rank the caller names; all of them without one."""
+    return df if limit is None else df.filter(F.col(rank) <= limit)
+
+
+def nearest(points: DataFrame, key: str, stops: DataFrame, meters: float, limit: int | None = None) -> DataFrame:
+    """Stops inside a radius of each point with their rank by distance (ties by stop id)."""
     order = W.partitionBy(key).orderBy("meters", "stop_id")
-    return (within(points, stops, meters).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit))
+    return first_ranks(within(points, stops, meters).withColumn("rank", F.row_number().over(order)), limit)
 
 
 def footpaths(stops: DataFrame, meters: float) -> DataFrame:
@@ -57,11 +62,9 @@ def window_reason(max_span: float = 0.04) -> Column:
     return F.when(~F.coalesce(valid, F.lit(False)), "invalid window").when(wide, "window too large")
 
 
-def window_stops(windows: DataFrame, stops: DataFrame, limit: int) -> DataFrame:
-    """Stops of each window by name, cut at ``limit`` with a flag that says so."""
+def window_stops(windows: DataFrame, stops: DataFrame, limit: int | None = None) -> DataFrame:
+    """Stops of each window with their place by name."""
     found = in_windows(windows.filter(window_reason().isNull()), stops, 0.04)
     order = W.partitionBy("window_id").orderBy("stop_name", "stop_id")
-    top = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit + 1)
-    cut = top.filter(F.col("place") > limit).select("window_id", F.lit(True).alias("cut"))
-    return (top.filter(F.col("place") <= limit).join(cut, "window_id", "left")
-            .select("window_id", "stop_id", "place", F.coalesce("cut", F.lit(False)).alias("truncated")))
+    placed = found.select("window_id", "stop_id", F.row_number().over(order).alias("place"))
+    return first_ranks(placed, limit, "place")

@@ -13,16 +13,14 @@ LEVEL_TYPES = {6: "DISTRICT", 7: "MUNICIPALITY", 8: "MUNICIPALITY", 9: "LOCALITY
 EXCLUDED = ["amenity", "shop", "tourism", "building", "highway", "railway", "public_transport", "healthcare", "office", "craft", "leisure",
             "aeroway", "historic", "man_made", "bridge", "emergency", "barrier", "waterway", "military", "power"]
 SECTOR = r"(?i)^sector[\s-]*\d+[a-z]?$"
-MAX_CHAIN = 64
-MIN_M2, MAX_M2 = 500.0, 150_000e6
 
 
 def _from(c: Column, table: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[c]
 
 
-def classify(elements: DataFrame) -> DataFrame:
-    """Area type, or why the element is skipped or rejected (``tags`` map, ``kind``)."""
+def classify(elements: DataFrame, longest: int | None = None) -> DataFrame:
+    """Area type, or why the element is skipped or rejected (``tags`` map, ``kind``); names of any length unless one is given."""
     tag = lambda k: F.col("tags")[k]
     level = F.when(F.trim(tag("admin_level")).rlike(r"^\d+$"), F.trim(tag("admin_level")).try_cast("int"))
     base = F.when(tag("place").isNotNull(), _from(tag("place"), PLACE_TYPES)).when(tag("boundary") == "administrative", _from(level, LEVEL_TYPES))
@@ -33,7 +31,7 @@ def classify(elements: DataFrame) -> DataFrame:
                       ((tag("boundary") == "administrative") & tag("place").isNull() & base.isNull(), "UNMAPPED_ADMIN_LEVEL"),
                       (base.isNull() | (F.col("kind") == "node"), "UNMAPPED_TAGS"))
     return d.withColumn("skipped", skipped).withColumn("rejected", F.when(F.col("skipped").isNull(), reasons(
-        (F.col("clean") == "", "NO_NAME"), (F.length("clean") > 255, "NAME_TOO_LONG"))))
+        (F.col("clean") == "", "NO_NAME"), (F.lit(False) if longest is None else F.length("clean") > longest, "NAME_TOO_LONG"))))
 
 
 def ancestor(links: DataFrame, steps: int) -> DataFrame:
@@ -50,17 +48,21 @@ def ancestor(links: DataFrame, steps: int) -> DataFrame:
 
 
 def parent_links(claims: DataFrame, stored: DataFrame) -> DataFrame:
-    """Each stored child's claim: linked, ambiguous or parent not imported. A chain past 64 steps, or into a loop, is ambiguous."""
+    """Each stored child's claim: linked, ambiguous or parent not imported. A chain into a loop is ambiguous, however long; one that ends is not."""
     c = (claims.join(stored.select(F.col("area_id").alias("child")), "child", "left_semi").groupBy("child")
          .agg(F.countDistinct("parent").alias("n"), F.min("parent").alias("parent")))
     ids = stored.select(F.col("area_id").alias("parent"), F.lit(True).alias("known"))
     c = stage(c.join(ids, "parent", "left").withColumn("first", F.when(F.col("n") > 1, "ambiguous").when(F.col("known").isNull(), "not imported")))
     single = c.filter("first is null").select("child", "parent")
-    endless = ancestor(single, MAX_CHAIN + 1).select("child", F.lit(True).alias("endless"))
+    endless = ancestor(single, _past_every_end(single)).select("child", F.lit(True).alias("endless"))
     return c.join(endless, "child", "left").select("child", "parent", F.coalesce("first", F.when(F.col("endless"), "ambiguous"), F.lit("linked")).alias("outcome"))
 
 
+def _past_every_end(links: DataFrame) -> int:
+    """More steps than there are links: only a chain that runs into a loop is that long."""
+    return 1 << links.count().bit_length()
+
+
 def in_parent_cycle(links: DataFrame) -> DataFrame:
-    """Areas that are their own ancestor. After as many steps as there are links, whatever is left is on a loop."""
-    n = max(1, links.count())
-    return ancestor(links, 1 << n.bit_length()).select(F.col("parent").alias("area_id")).distinct()
+    """Areas that are their own ancestor: whatever is left after more steps than there are links is on a loop."""
+    return ancestor(links, _past_every_end(links)).select(F.col("parent").alias("area_id")).distinct()

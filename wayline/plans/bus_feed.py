@@ -178,11 +178,14 @@ def trip_results(rows: DataFrame, trip_ids: DataFrame) -> DataFrame:
 class Import:
     """One feed, judged table by table. Tables that later tables read again are staged on first use."""
 
-    def __init__(self, agency, stop, route, cal, cal_date, shape, trip, stop_time, region=REGION):
+    def __init__(self, agency, stop, route, cal, cal_date, shape, trip, stop_time, region=REGION, has_agency: bool = True,
+                 has_calendar: bool = True):
+        """``has_agency``, ``has_calendar``: whether the feed brings these tables; without them their ids are not checked."""
+        self._has_calendar = has_calendar
         self.raw_trip, self.raw_stop_time = trip, stop_time
         self.agencies = agencies(agency)
         self.stops = stops(stop, region)
-        self.routes = routes(route, self._ids(self.agencies, "agency_id"))
+        self.routes = routes(route, self._ids(self.agencies, "agency_id"), has_agency)
         self.calendar = calendar(cal)
         self.dates = calendar_dates(cal_date)
         self.points = shape_points(shape, region)
@@ -195,7 +198,7 @@ class Import:
     @cached_property
     def trips(self) -> DataFrame:
         services = self._ids(self.calendar, "service_id").unionByName(self._ids(self.dates, "service_id")).distinct()
-        return stage(trips(self.raw_trip, self._ids(self.routes, "route_id"), services, self._ids(self.shapes, "shape_id")))
+        return stage(trips(self.raw_trip, self._ids(self.routes, "route_id"), services, self._ids(self.shapes, "shape_id"), self._has_calendar))
 
     @cached_property
     def stop_times(self) -> DataFrame:

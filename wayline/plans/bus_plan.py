@@ -1,17 +1,18 @@
 """Scheduled bus journeys for a table of requests: access stops, search rounds, timetable resolution, assembly."""
 
 from functools import cached_property, reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wayline.functions.geo import haversine
 from wayline.functions.scalars import half_up, walk_seconds
-from wayline.operators.nearby import footpaths, nearest
+from wayline.operators.nearby import first_ranks, footpaths, nearest
 from wayline.operators.stage import stage
 from wayline.plans import timetable as tt
 from wayline.plans.patterns import expected_wait, usable_patterns
 
-# Fixed values.
+# Fixed values. The counts are what the interactive service asks for; no function applies one unless it is passed in.
 RADII = (600, 1500)
 CANDIDATES = 60
 ACCESS_STOPS = 8
@@ -72,24 +73,26 @@ class Network:
         return stage(tt.departures(self._positions, self._layer.trips))
 
 
-def nearby_stops(points: DataFrame, key: str, stops: DataFrame, serving: DataFrame) -> DataFrame:
-    """Up to eight boarding stops of each point (``day``, ``plat``, ``plon``), from the smallest radius that has any."""
-    found = nearest(points, key, stops.filter("active").select("stop_id", "lat", "lon"), RADII[-1], CANDIDATES)
+def nearby_stops(points: DataFrame, key: str, stops: DataFrame, serving: DataFrame, candidates: int | None = None,
+                 keep: int | None = None) -> DataFrame:
+    """Ranked boarding stops of each point (``day``, ``plat``, ``plon``), from the smallest radius that has any."""
+    found = nearest(points, key, stops.filter("active").select("stop_id", "lat", "lon"), RADII[-1], candidates)
     fit = found.join(serving, ["day", "stop_id"]).withColumn(
         "tier", F.when(F.col("meters") <= RADII[0], 0).otherwise(1))
     best = fit.groupBy(key).agg(F.min("tier").alias("best_tier"))
     d = (fit.join(best, key).filter("tier = best_tier").withColumn("walk_s", walk_seconds(F.col("meters")))
          .withColumn("score", F.col("walk_s") + F.greatest(F.lit(0), 300 - 60 * F.least(F.col("serving"), F.lit(5)))))
     order = W.partitionBy(key).orderBy("score", "meters", "stop_id")
-    return (d.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ACCESS_STOPS)
+    return (first_ranks(d.withColumn("rank", F.row_number().over(order)), keep)
             .select(key, "stop_id", "meters", "walk_s", "serving", "score", "rank"))
 
 
-def request_stops(requests: DataFrame, net: Network) -> tuple[DataFrame, DataFrame]:
+def request_stops(requests: DataFrame, net: Network, candidates: int | None = None,
+                  keep: int | None = None) -> tuple[DataFrame, DataFrame]:
     ends = []
     for side in ("from", "to"):
         pts = requests.select("request_id", "day", F.col(f"{side}_lat").alias("plat"), F.col(f"{side}_lon").alias("plon"))
-        ends.append(stage(nearby_stops(pts, "request_id", net.stops, net.serving)))
+        ends.append(stage(nearby_stops(pts, "request_id", net.stops, net.serving, candidates, keep)))
     return ends[0], ends[1]
 
 
@@ -174,18 +177,24 @@ def finish(state: DataFrame, egress: DataFrame, requests: DataFrame, totals: Dat
             .select("request_id", "total", "egress_stop", "egress_walk_s", "legs"))
 
 
-def search(requests: DataFrame, access: DataFrame, egress: DataFrame, net: Network, banned: DataFrame | None = None) -> DataFrame:
-    """Plans of each request, fewer rides first; each later plan is clearly cheaper."""
+def search(requests: DataFrame, access: DataFrame, egress: DataFrame, net: Network, banned: DataFrame | None = None,
+           rounds: int | None = None) -> DataFrame:
+    """Plans of each request, fewer rides first; each later plan is clearly cheaper.
+
+    One more ride per round, until no stop improves or after ``rounds``. Costs only fall, so the search ends.
+    """
     spark = requests.sparkSession
     state = marked = stage(start_state(requests, access))
     totals = spark.createDataFrame([], "request_id bigint, best_total bigint, best_legs int")
     plans = []
-    for k in range(1, ROUNDS + 1):
+    for k in count(1):
         state, marked = round_step(state, marked, totals, requests, net, banned)
         found = stage(finish(state, egress, requests, totals))
         plans.append(found.withColumn("round", F.lit(k)))
         better = found.select("request_id", F.col("total").alias("best_total"), F.size("legs").alias("best_legs"))
         totals = stage(better.unionByName(totals.join(better, "request_id", "left_anti")))
+        if k == rounds or marked.isEmpty():
+            break
     start = access.groupBy("request_id", F.col("stop_id").alias("first_stop")).agg(F.min("walk_s").alias("access_walk_s"))
     d = reduce(DataFrame.unionByName, plans).withColumn("first_stop", F.get("legs", F.lit(0))["board_stop"])
     return stage(d.join(start, ["request_id", "first_stop"]).drop("first_stop"))
@@ -200,8 +209,8 @@ def resolve(plans: DataFrame, requests: DataFrame, net: Network, positions: Data
     key = ["request_id", "round", "leg"]
     todo = (plans.join(requests.select("request_id", "day", "depart_s"), "request_id")
             .withColumn("ready_s", F.col("depart_s") + F.col("access_walk_s")).withColumn("rides", F.size("legs")))
-    done = None
-    for i in range(ROUNDS):
+    done, longest = None, plans.agg(F.coalesce(F.max(F.size("legs")), F.lit(0))).first()[0]
+    for i in range(max(longest, 1)):
         now = todo.filter(F.col("rides") > i).withColumn("leg", F.lit(i)).withColumn("l", F.get("legs", F.lit(i)))
         now = now.select("request_id", "round", "leg", "day", "ready_s", "rides", "legs", "l.*")
         run = tt.next_departure(now, key, net.departures, net.running)
@@ -209,7 +218,7 @@ def resolve(plans: DataFrame, requests: DataFrame, net: Network, positions: Data
                 .filter("alight_s >= board_s").withColumn("wait_s", F.col("board_s") - F.col("ready_s")))
         ride = stage(ride)
         done = ride.drop("legs") if done is None else done.unionByName(ride.drop("legs"))
-        if i + 1 < ROUNDS:
+        if i + 1 < longest:
             nxt = ride.filter(F.col("rides") > i + 1).withColumn("next_stop", F.get("legs", F.lit(i + 1))["board_stop"])
             a = place.select(F.col("stop_id").alias("alight_stop"), F.col("lat").alias("alat"), F.col("lon").alias("alon"))
             b = place.select(F.col("stop_id").alias("next_stop"), F.col("lat").alias("blat"), F.col("lon").alias("blon"))
@@ -266,15 +275,18 @@ def journeys(rides: DataFrame, plans: DataFrame, requests: DataFrame, net: Netwo
                       F.greatest(F.lit(0), arrive - F.col("depart_s")).alias("duration_s"))
 
 
-def alternatives(requests: DataFrame, access: DataFrame, egress: DataFrame, net: Network, positions: DataFrame):
-    """Up to three searches per request; each bans the first route of the best schedulable plan before it.
+def alternatives(requests: DataFrame, access: DataFrame, egress: DataFrame, net: Network, positions: DataFrame,
+                 attempts: int | None = None, rounds: int | None = None, keep: int | None = None):
+    """Repeated searches per request; each bans the first route of the best schedulable plan before it.
+
+    Ends when no request has a plan left, or after ``attempts``.
 
     Returns (journeys in presentation order, requests that had any plan).
     """
     banned = requests.sparkSession.createDataFrame([], "request_id bigint, route_id bigint")
     open_requests, found, planned = requests, [], []
-    for attempt in range(ALTERNATIVES):
-        plans = search(open_requests, access, egress, net, banned if attempt else None)
+    for attempt in count():
+        plans = search(open_requests, access, egress, net, banned if attempt else None, rounds)
         rides = resolve(plans, requests, net, positions)
         built = stage(journeys(rides, plans, requests, net).withColumn("attempt", F.lit(attempt)))
         found.append(built)
@@ -284,11 +296,13 @@ def alternatives(requests: DataFrame, access: DataFrame, egress: DataFrame, net:
         ban = any_plan.join(ok, "request_id", "left").select("request_id", F.coalesce("scheduled", "planned").alias("route_id"))
         banned = stage(banned.unionByName(ban))
         open_requests = stage(open_requests.join(ban, "request_id", "left_semi"))
+        if attempt + 1 == attempts or open_requests.isEmpty():
+            break
     every = reduce(DataFrame.unionByName, found)
     first = every.groupBy("request_id", "ride_key").agg(F.min(F.struct("attempt", "round")).alias("k"))
     kept = every.join(first.select("request_id", "ride_key", "k.attempt", "k.round"), ["request_id", "ride_key", "attempt", "round"])
     order = W.partitionBy("request_id").orderBy("arrive_s", "transfers", "walking_s", "attempt", "round")
-    ranked = kept.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= ALTERNATIVES)
+    ranked = first_ranks(kept.withColumn("place", F.row_number().over(order)), keep, "place")
     return ranked, reduce(DataFrame.unionByName, planned).distinct()
 
 

@@ -1,43 +1,25 @@
 """Read-only checks of a published bus network: counts, problems, relationships and the pattern layer."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wayline.operators import constraints as c
 from wayline.operators.ordered import previous
 
 
-def count_as(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check_name"), "n")
-
-
-def report(checks: dict[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [count_as(d, k) for k, d in checks.items()])
-
-
 def measures(df: DataFrame, named: dict[str, Column]) -> DataFrame:
     """Several aggregates of one table in a single scan, one row per name."""
-    wide = df.agg(*[c.cast("bigint").alias(f"c{i}") for i, c in enumerate(named.values())])
+    wide = df.agg(*[x.cast("bigint").alias(f"c{i}") for i, x in enumerate(named.values())])
     rows = F.array(*[F.struct(F.lit(k).alias("check_name"), F.col(f"c{i}").alias("n")) for i, k in enumerate(named)])
     return wide.select(F.explode(rows).alias("r")).select("r.check_name", "r.n")
 
 
 def flags(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    return measures(df, {k: F.count(F.when(c, 1)) for k, c in checks.items()})
-
-
-def repeated(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("records")).filter("records > 1")
-
-
-def missing(df: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    return df.filter(F.col(key).isNotNull()).join(parent.select(key).distinct(), key, "left_anti")
+    return measures(df, {k: F.count(F.when(x, 1)) for k, x in checks.items()})
 
 
 def times_backwards(stop_times: DataFrame) -> DataFrame:
     """Trips that arrive somewhere before they left the stop before it."""
-    d = previous(stop_times, ["trip_id"], "stop_sequence", F.struct("departure_s"), "before")
-    return d.filter(F.col("arrival_s") < F.col("before.departure_s")).select("trip_id").distinct()
+    return c.falling(stop_times, "trip_id", "stop_sequence", "arrival_s", since="departure_s").select("trip_id").distinct()
 
 
 def pattern_steps(pattern_stop: DataFrame) -> DataFrame:
@@ -47,27 +29,20 @@ def pattern_steps(pattern_stop: DataFrame) -> DataFrame:
                     F.col("before.stop_sequence").alias("prev_sequence"))
 
 
-def few_stop_times(trips: DataFrame, stop_times: DataFrame) -> DataFrame:
-    n = stop_times.groupBy("trip_id").agg(F.count(F.lit(1)).alias("n"))
-    return trips.join(n, "trip_id", "left").filter(F.coalesce("n", F.lit(0)) < 2)
-
-
 def in_india(lat: Column, lon: Column) -> Column:
     return lat.between(6, 38) & lon.between(68, 98)
 
 
 def pattern_report(pattern: DataFrame, pattern_stop: DataFrame, trip_pattern: DataFrame) -> DataFrame:
-    per = pattern_stop.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("rows"), F.min("idx").alias("lo"),
-                                                 F.max("idx").alias("hi"))
-    steps = pattern_steps(pattern_stop)
-    return reduce(DataFrame.unionByName, [
-        flags(pattern, {"patterns with fewer than 2 stops": F.col("stop_count") < 2}),
-        count_as(pattern.join(per, "pattern_id").filter("rows <> stop_count"), "stored stop count differs"),
-        count_as(per.filter("lo <> 0 or hi <> rows - 1"), "indexes are not 0..n-1"),
-        flags(steps, {"offsets going backwards": F.col("offset_s") < F.col("prev_offset"),
-                      "stop_sequence not increasing": F.col("stop_sequence") <= F.col("prev_sequence")}),
-        count_as(trip_pattern.filter("pattern_id is not null")
-                 .join(pattern.select("pattern_id", F.col("route_id").alias("pattern_route")), "pattern_id")
-                 .filter("pattern_route <> route_id"), "trips of another route"),
-        count_as(repeated(pattern, "route_id", "signature"), "signature repeated"),
-    ])
+    """What the pattern layer promises, counted where it is broken: keys, references, a dense index, rising values."""
+    return c.violations({
+        "pattern key (route_id, signature) repeated": c.not_unique(pattern, "route_id", "signature"),
+        "pattern without two stops": pattern.filter("stop_count < 2"),
+        "pattern.stop_count is not the number of its stops": c.child_count(pattern, pattern_stop, "pattern_id",
+                                                                           F.col("children") == F.col("stop_count")),
+        "pattern_stop.idx has gaps": c.gaps(pattern_stop, "pattern_id", "idx"),
+        "pattern_stop.offset_s falls": c.falling(pattern_stop, "pattern_id", "idx", "offset_s"),
+        "pattern_stop.stop_sequence does not rise": c.falling(pattern_stop, "pattern_id", "idx", "stop_sequence", strict=True),
+        "trip.pattern_id names no row": c.dangling(trip_pattern, pattern, "pattern_id"),
+        "trip.route_id is not that of its pattern": c.disagreeing(trip_pattern, pattern, "pattern_id", "route_id"),
+    })

@@ -8,7 +8,6 @@ from wayline.functions import scalars as s, text as tx
 from wayline.operators.accept import reasons
 from wayline.operators.ordered import running_sum
 
-MAX_QUERY = 100
 QUALITY = {"exact": 0, "prefix": 1, "contains": 2}
 TRAVEL_MODES = ["TWO_WHEELER", "FOUR_WHEELER", "BUS", "METRO", "TRAIN", "WALKING", "CYCLING"]
 SINGLE_LEG = ["TWO_WHEELER", "FOUR_WHEELER", "WALKING", "CYCLING"]
@@ -28,7 +27,7 @@ def area_key(name: Column, area_type: Column) -> Column:
 # ---- passing-area search
 
 def search_term(raw: Column) -> Column:
-    return tx.search_name(F.substring(raw, 1, MAX_QUERY))
+    return tx.search_name(raw)
 
 
 def area_hits(searches: DataFrame, areas: DataFrame) -> DataFrame:

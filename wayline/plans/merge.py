@@ -56,9 +56,11 @@ def publish(tables: dict[str, DataFrame], root: str, version: str) -> None:
     out = fs.create(part, True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
-    if not fs.rename(part, path):
-        fs.delete(path, False)
-        fs.rename(part, path)
+    # The file context renames over the old pointer in one step, so a reader never finds none.
+    jvm = spark._jvm
+    replace = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration()).rename(part, path, replace)
 
 
 def current(spark, root: str, table: str) -> DataFrame:

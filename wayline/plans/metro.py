@@ -15,7 +15,6 @@ from wayline.plans.bus_feed import REGION, bad_position, known, outside
 # Fixed values.
 CLUSTER_METERS = 300.0
 MAX_GAP_METERS = 40_000.0
-STOP_IDS_KEPT = 12
 NOTE = r"\s*\([^()]*\)\s*$"
 
 
@@ -105,9 +104,7 @@ def station_records(stop: DataFrame, member: DataFrame) -> DataFrame:
     per = d.groupBy("station").agg(
         F.min(F.when(parent, one)).alias("p"), F.min(F.when(~has_note(F.col("name")), one)).alias("plain"), F.min(one).alias("any"),
         F.avg("lat").alias("mlat"), F.avg("lon").alias("mlon"), F.count(F.lit(1)).alias("stop_count"), F.count(F.when(~parent, 1)).alias("children"))
-    w = W.partitionBy("station").orderBy("stop_id")
-    ids = (d.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= STOP_IDS_KEPT).groupBy("station")
-           .agg(F.array_join(F.array_sort(F.collect_list("stop_id")), ",").alias("stop_ids")))
+    ids = d.groupBy("station").agg(F.array_join(F.array_sort(F.collect_list("stop_id")), ",").alias("stop_ids"))
     own = s.access_status(F.col("wheelchair_boarding"))
     child = (d.filter(~parent).join(per.select("station", F.coalesce("p.access", F.lit("UNKNOWN")).alias("inherited")), "station")
              .withColumn("eff", F.when(own == "UNKNOWN", F.col("inherited")).otherwise(own)).groupBy("station")

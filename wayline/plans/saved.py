@@ -4,9 +4,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wayline.functions import text as tx
 from wayline.operators.accept import reasons
+from wayline.operators.nearby import first_ranks
 from wayline.plans.compare import TRAVEL_MODES
 
-# Fixed values.
+# Fixed values. The first line is what the application asks for; no function applies one unless it is passed in.
 MAX_SAVED, MAX_RECENT, MAX_OFFLINE, MAX_LABEL = 20, 10, 10, 40
 TTL_DAYS, STALE_DAYS, OLD_DAYS = 30, 7, 180
 RESERVED = ["home", "work"]
@@ -15,22 +16,22 @@ PLACES = ("version INT, saved ARRAY<STRUCT<id:STRING,kind:STRING,label:STRING,pl
 PREFERENCES = "version INT, prefer STRUCT<fastest:BOOLEAN,lowestFare:BOOLEAN,fewerTransfers:BOOLEAN,lessWalking:BOOLEAN>, avoid ARRAY<STRING>"
 
 
-def recent(searches: DataFrame, now: Column, keep: int = MAX_RECENT) -> DataFrame:
-    """Newest search per user and journey key inside the time limit, newest ten."""
+def recent(searches: DataFrame, now: Column, keep: int | None = None) -> DataFrame:
+    """Newest search per user and journey key inside the time limit, newest first."""
     d = (searches.filter(F.col("ts") >= now - F.make_dt_interval(days=F.lit(TTL_DAYS))).groupBy("user_id", "journey_key")
          .agg(F.max(F.struct("ts", "event_id")).alias("m")).select("user_id", "journey_key", "m.ts", "m.event_id"))
     order = W.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return d.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
+    return first_ranks(d.withColumn("place", F.row_number().over(order)), keep, "place")
 
 
-def place_changes(changes: DataFrame) -> DataFrame:
+def place_changes(changes: DataFrame, keep: int | None = None, longest: int | None = None) -> DataFrame:
     """Result of each request to save a place, in time order per user: OK or a named error.
 
     Without removals a request only depends on when its slot (Home, Work, or a label) was first asked for: the first
-    twenty slots get in, a label that is in is taken, and later slots meet the limit. So the ordered list never has to
+    ``keep`` slots get in, a label that is in is taken, and later slots meet the limit. So the ordered list never has to
     be replayed; the slots are ranked instead.
     """
-    label = tx.clean_label(F.col("label"), MAX_LABEL)
+    label = tx.clean_label(F.col("label"), longest)
     custom = F.col("kind") == "CUSTOM"
     d = changes.withColumn("clean", F.when(custom, label).otherwise(F.initcap(F.lower("kind")))).withColumn("slot", F.lower("clean"))
     bad = reasons((~tx.is_place_id(F.col("place_id")), "INVALID_PLACE"), (F.col("clean").isNull(), "INVALID_LABEL"),
@@ -38,7 +39,7 @@ def place_changes(changes: DataFrame) -> DataFrame:
     d = d.withColumn("bad", bad)
     first = d.filter("bad is null").groupBy("user_id", "slot").agg(F.min("event_id").alias("first_id"))
     order = W.partitionBy("user_id").orderBy("first_id")
-    inside = (first.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MAX_SAVED)
+    inside = (first_ranks(first.withColumn("n", F.row_number().over(order)), keep, "n")
               .select("user_id", "slot", "first_id", F.lit(True).alias("in")))
     d = d.join(inside, ["user_id", "slot"], "left")
     taken = custom & F.col("in") & (F.col("event_id") > F.col("first_id"))
@@ -53,11 +54,11 @@ def saved_places(changes: DataFrame, results: DataFrame) -> DataFrame:
     return ok.groupBy("user_id", F.col("clean").alias("label")).agg(F.max_by("place_id", "event_id").alias("place_id"))
 
 
-def offline_changes(saves: DataFrame) -> DataFrame:
-    """OK for one of the first ten journeys of a user (or a newer copy of it), else LIMIT."""
+def offline_changes(saves: DataFrame, keep: int | None = None) -> DataFrame:
+    """OK for one of the first ``keep`` journeys of a user (or a newer copy of it), else LIMIT."""
     first = saves.groupBy("user_id", "journey_key").agg(F.min("event_id").alias("first_id"))
     order = W.partitionBy("user_id").orderBy("first_id")
-    inside = first.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MAX_OFFLINE).select("user_id", "journey_key", F.lit("OK").alias("r"))
+    inside = first_ranks(first.withColumn("n", F.row_number().over(order)), keep, "n").select("user_id", "journey_key", F.lit("OK").alias("r"))
     return (saves.join(inside, ["user_id", "journey_key"], "left")
             .select("event_id", "user_id", "journey_key", "ts", F.coalesce("r", F.lit("LIMIT")).alias("result")))
 
@@ -78,12 +79,12 @@ def freshness(saved: DataFrame, now: Column) -> DataFrame:
 
 # ---- stored documents
 
-def parse_places(docs: DataFrame, now_ms: int) -> DataFrame:
+def parse_places(docs: DataFrame, now_ms: int, longest: int | None = None) -> DataFrame:
     """Documents (``doc_id``, ``raw``) with their status and saved records; unreadable documents are dropped whole, bad records one by one."""
     d = docs.withColumn("p", F.from_json("raw", PLACES))
     ok = F.coalesce((F.col("p.version") == 1) & F.col("p.saved").isNotNull() & F.col("p.recent").isNotNull(), F.lit(False))
-    x = lambda s: (F.length(s["id"]).between(1, 64) & s["kind"].isin("HOME", "WORK", "CUSTOM") & tx.is_place_id(s["placeId"])
-                   & ((s["kind"] != "CUSTOM") | tx.clean_label(s["label"], MAX_LABEL).isNotNull()) & s["savedAt"].between(1, now_ms + 86_400_000))
+    x = lambda s: ((F.length(s["id"]) >= 1) & s["kind"].isin("HOME", "WORK", "CUSTOM") & tx.is_place_id(s["placeId"])
+                   & ((s["kind"] != "CUSTOM") | tx.clean_label(s["label"], longest).isNotNull()) & s["savedAt"].between(1, now_ms + 86_400_000))
     kept = F.filter("p.saved", lambda s: F.coalesce(x(s), F.lit(False)))
     return d.select("doc_id", F.when(F.col("raw").isNull(), "empty").when(ok, "ok").otherwise("discarded").alias("status"),
                     F.when(ok, F.size("p.saved") - F.size(kept)).otherwise(0).alias("dropped"), F.when(ok, kept).alias("saved"))

@@ -12,16 +12,22 @@ def has_table(spark: SparkSession, path: str) -> bool:
 
 
 def _clean(c: str) -> Column:
-    return F.coalesce(F.trim(F.regexp_replace(F.col(f"`{c}`"), r"^\x{FEFF}", "")), F.lit(""))
+    return F.coalesce(F.regexp_replace(F.col(f"`{c}`"), r"(?U)^[\x{FEFF}\s]+|\s+$", ""), F.lit(""))
 
 
-def table(spark: SparkSession, path: str, required: list[str], optional: list[str] = (), present: bool = True) -> DataFrame:
+def table(spark: SparkSession, path: str, required: list[str], optional: list[str] = (), present: bool = True,
+          needed: bool = False) -> DataFrame:
     """A feed table: stripped text columns, '' for missing values, absent optional columns added, plus ``row_pos``.
 
+    A row whose wanted columns are all blank stays, so that the import counts it as rejected. A missing table is empty,
+    or an error where the feed cannot do without it (``needed``).
+
     ``monotonically_increasing_id`` is taken on the scan itself, so it follows file order.
     """
     wanted = [*required, *optional]
     if not present or not has_table(spark, path):
+        if needed:
+            raise FileNotFoundError(f"the feed has no table {path}")
         return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in wanted) + ", row_pos bigint")
     raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=False)
     names = {c.replace("﻿", "").strip(): c for c in raw.columns}
@@ -29,9 +35,7 @@ def table(spark: SparkSession, path: str, required: list[str], optional: list[st
     if lost:
         raise ValueError(f"{path} lacks the columns {', '.join(lost)}")
     cols = [_clean(names[c]).alias(c) if c in names else F.lit("").alias(c) for c in wanted]
-    d = raw.select(*cols, F.monotonically_increasing_id().alias("row_pos"))
-    blank = F.concat_ws("", *[F.col(c) for c in wanted]) == ""
-    return d.filter(~blank)
+    return raw.select(*cols, F.monotonically_increasing_id().alias("row_pos"))
 
 
 def unzip(spark: SparkSession, archives: str, target: str) -> None:
@@ -54,10 +58,3 @@ def unzip(spark: SparkSession, archives: str, target: str) -> None:
     files = spark.read.format("binaryFile").load(archives).select("path", "content")
     lines = files.mapInPandas(members, "archive string, member string, line bigint, value string")
     lines.select("member", "value").write.partitionBy("member").mode("overwrite").text(target)
-
-
-def within_cap(df: DataFrame, rows: int | None) -> DataFrame:
-    """Refuses a table with more rows than allowed; off unless a number is given."""
-    if rows is not None and df.count() > rows:
-        raise ValueError(f"the table has more than {rows} rows")
-    return df

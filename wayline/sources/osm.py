@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-MAX_TAGS = 500
 _ND = "ARRAY<STRUCT<_lat:DOUBLE,_lon:DOUBLE>>"
 _TAG = "ARRAY<STRUCT<_k:STRING,_v:STRING>>"
 RELATION = f"_id BIGINT, member ARRAY<STRUCT<_type:STRING,_ref:BIGINT,_role:STRING,nd:{_ND}>>, tag {_TAG}"
@@ -11,8 +10,10 @@ NODE = f"_id BIGINT, _lat DOUBLE, _lon DOUBLE, tag {_TAG}"
 
 
 def _tags(c: str = "tag"):
-    t = F.coalesce(c, F.array().cast(_TAG))
-    return F.map_from_entries(F.transform(t, lambda x: F.struct(x["_k"].alias("key"), x["_v"].alias("value"))))
+    """Tags as a map; of a repeated key the last value counts."""
+    t = F.filter(F.coalesce(c, F.array().cast(_TAG)), lambda x: x["_k"].isNotNull())
+    keys = F.array_distinct(F.transform(t, lambda x: x["_k"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(t, lambda x: x["_k"] == k), -1)["_v"]))
 
 
 def elements(spark: SparkSession, path: str) -> DataFrame:

@@ -4,8 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wayline.operators.accept import reasons
 
-# Fixed values.
-MAX_ROUTES, MAX_STEPS, MAX_WARNINGS, MAX_TEXT = 5, 60, 5, 200
+# Fixed value.
 DURATION = r"^(\d+(?:\.\d+)?)s$"
 _STOP = "STRUCT<name:STRING,location:STRUCT<latLng:STRUCT<latitude:DOUBLE,longitude:DOUBLE>>>"
 RESPONSE = ("routes ARRAY<STRUCT<distanceMeters:BIGINT,duration:STRING,polyline:STRUCT<encodedPolyline:STRING>,description:STRING,warnings:ARRAY<STRING>,"
@@ -18,8 +17,8 @@ def seconds(text: Column) -> Column:
     return F.when(text.rlike(DURATION), F.floor(F.regexp_extract(text, DURATION, 1).cast("double") + 0.5))
 
 
-def clip(text: Column) -> Column:
-    return F.substring(F.coalesce(F.trim(text), F.lit("")), 1, MAX_TEXT)
+def tidy(text: Column) -> Column:
+    return F.coalesce(F.trim(text), F.lit(""))
 
 
 def fare(money: Column) -> Column:
@@ -30,11 +29,10 @@ def fare(money: Column) -> Column:
 
 
 def routes(responses: DataFrame) -> DataFrame:
-    """One row per reported route (at most five, as the provider rule says), with a reason when it cannot be used."""
-    d = responses.withColumn("p", F.from_json("raw", RESPONSE)).select("response_id", F.posexplode("p.routes").alias("idx", "r")).filter(F.col("idx") < MAX_ROUTES)
+    """One row per reported route, with a reason when it cannot be used; a caller that shows only some filters on ``idx``."""
+    d = responses.withColumn("p", F.from_json("raw", RESPONSE)).select("response_id", F.posexplode("p.routes").alias("idx", "r"))
     r = F.col("r")
-    warn = F.transform(F.filter(F.slice(F.coalesce(r["warnings"], F.array().cast("array<string>")), 1, MAX_WARNINGS), lambda w: F.trim(w) != ""),
-                       lambda w: F.substring(w, 1, MAX_TEXT))
+    warn = F.filter(F.coalesce(r["warnings"], F.array().cast("array<string>")), lambda w: F.trim(w) != "")
     return d.select("response_id", "idx", F.coalesce(r["distanceMeters"], F.lit(0)).alias("distance_m"), seconds(r["duration"]).alias("duration_s"),
                     r["polyline"]["encodedPolyline"].alias("encoded"), F.size(warn).alias("warnings"), fare(r["travelAdvisory"]["transitFare"]).alias("fare"),
                     r["travelAdvisory"]["transitFare"]["currencyCode"].alias("currency"), r["legs"].alias("legs"),
@@ -43,18 +41,18 @@ def routes(responses: DataFrame) -> DataFrame:
 
 
 def steps(route: DataFrame) -> DataFrame:
-    """Walk and ride steps in order; coordinates outside the range become NULL."""
+    """Walk and ride steps in order of ``seq`` (leg in the upper half); coordinates outside the range become NULL."""
     d = (route.filter("reason is null").select("response_id", "idx", F.posexplode("legs").alias("leg", "l"))
-         .select("response_id", "idx", "leg", F.posexplode("l.steps").alias("n", "s")).filter(F.col("n") < MAX_STEPS))
+         .select("response_id", "idx", "leg", F.posexplode("l.steps").alias("n", "s")))
     s, t = F.col("s"), F.col("s.transitDetails")
     kind = F.when(t.isNotNull(), "RIDE").when(s["travelMode"] == "WALK", "WALK")
-    line = clip(t["transitLine"]["name"])
+    line = tidy(t["transitLine"]["name"])
     deg = lambda stop, k, limit: F.when(F.abs(t["stopDetails"][stop]["location"]["latLng"][k]) <= limit, t["stopDetails"][stop]["location"]["latLng"][k])
     return d.withColumn("kind", kind).filter("kind is not null").select(
-        "response_id", "idx", (F.col("leg") * 1000 + F.col("n")).alias("seq"), "kind", F.greatest(F.lit(0), F.coalesce(s["distanceMeters"], F.lit(0))).alias("distance_m"),
-        F.coalesce(seconds(s["staticDuration"]), F.lit(0)).alias("duration_s"), F.when(line != "", line).otherwise(clip(t["transitLine"]["nameShort"])).alias("line"),
-        clip(t["transitLine"]["vehicle"]["type"]).alias("vehicle"), clip(t["stopDetails"]["departureStop"]["name"]).alias("from_stop"),
-        clip(t["stopDetails"]["arrivalStop"]["name"]).alias("to_stop"), F.greatest(F.lit(0), F.coalesce(t["stopCount"], F.lit(0))).alias("stop_count"),
+        "response_id", "idx", (F.shiftleft(F.col("leg").cast("bigint"), 32) + F.col("n")).alias("seq"), "kind", F.greatest(F.lit(0), F.coalesce(s["distanceMeters"], F.lit(0))).alias("distance_m"),
+        F.coalesce(seconds(s["staticDuration"]), F.lit(0)).alias("duration_s"), F.when(line != "", line).otherwise(tidy(t["transitLine"]["nameShort"])).alias("line"),
+        tidy(t["transitLine"]["vehicle"]["type"]).alias("vehicle"), tidy(t["stopDetails"]["departureStop"]["name"]).alias("from_stop"),
+        tidy(t["stopDetails"]["arrivalStop"]["name"]).alias("to_stop"), F.greatest(F.lit(0), F.coalesce(t["stopCount"], F.lit(0))).alias("stop_count"),
         deg("departureStop", "latitude", 90).alias("from_lat"), deg("departureStop", "longitude", 180).alias("from_lon"))
 
 
