@@ -13,6 +13,7 @@ The model is fitted on a bounded, hashed sample of ``FIT_ROWS`` labelled rows pe
 import math
 import unicodedata
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from wayline.operators.stage import stage
 
 FIT_ROWS, FIT_WORDS, SWITCH, KEPT = 2_000, 20_000, 6.0, 300_000
+AT_ONCE = 200_000  # trigrams scored in one array
 
 # First and last code point of script ranges.
 SCRIPTS = [
@@ -30,16 +32,26 @@ SCRIPTS = [
 ]
 
 
+@lru_cache(maxsize=1 << 16)
+def _script(letter: str) -> str:
+    return next((s for s, lo, hi in SCRIPTS if lo <= ord(letter) <= hi), "other")
+
+
 def script_of(letters: str) -> str:
     """The script of most letters; ``other`` outside the ranges."""
+    if letters.isascii():
+        return "latin"
     n: dict[str, int] = defaultdict(int)
     for c in letters:
-        n[next((s for s, lo, hi in SCRIPTS if lo <= ord(c) <= hi), "other")] += 1
+        n[_script(c)] += 1
     return max(sorted(n), key=n.get)
 
 
 def letters_of(word: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFC", word.lower()) if c.isalpha())
+    low = word.lower()
+    if not low.isascii():
+        low = unicodedata.normalize("NFC", low)
+    return low if low.isalpha() else "".join(filter(str.isalpha, low))
 
 
 class Model:
@@ -68,22 +80,63 @@ class Model:
         self.scripts = dict(self.scripts)
         self.grams, self.pairs = grams, pairs
 
-    def scores(self, letters: str) -> tuple[float, ...]:
-        """Per language, the best is 0."""
-        use = self.scripts.get(script_of(letters), set()) if letters else set()
-        if not use:
-            return (0.0,) * len(self.langs)
-        s, out = f"^^{letters}$", []
-        for k in range(len(self.langs)):
-            if k not in use:
-                out.append(-math.inf)
-                continue
-            g, p = self.grams[k], self.pairs[k]
-            spelled = sum(math.log((g.get(s[i:i + 3], 0) + 0.1) / (p.get(s[i:i + 2], 0) + 5.0)) for i in range(len(s) - 2))
-            whole = self.known[k].get(letters, 0) / self.total[k]
-            out.append(math.log(0.5 * whole + 0.5 * math.exp(max(spelled, -600.0))))
-        top = max(out)
-        return tuple(max(x - top, -50.0) for x in out)
+        kept = sorted(set().union(*words.values()))
+        self.row = {w: i for i, w in enumerate(kept)}
+        self.share = np.zeros((len(kept) + 1, len(self.langs)))  # the last row is that of unknown words
+        for k, (known, total) in enumerate(zip(self.known, self.total)):
+            for w, n in known.items():
+                self.share[self.row[w], k] = n / total
+
+    def gram(self, s: str) -> list[float]:
+        """Logarithm of a trigram's probability in each language."""
+        return [math.log((g.get(s, 0) + 0.1) / (p.get(s[:2], 0) + 5.0)) for g, p in zip(self.grams, self.pairs)]
+
+    def spelled(self, letters: list[str], grams: "Grams") -> np.ndarray:
+        """Sums of trigram logarithms, a bounded number of trigrams at a time; a longer word is one step of its own."""
+        out, sizes, lo = np.zeros((len(letters), len(self.langs))), [len(w) + 1 for w in letters], 0
+        while lo < len(letters):
+            hi, n = lo + 1, sizes[lo]
+            while hi < len(letters) and n + sizes[hi] <= AT_ONCE:
+                n += sizes[hi]
+                hi += 1
+            ids = np.fromiter((grams[s[i:i + 3]] for s in (f"^^{w}$" for w in letters[lo:hi]) for i in range(len(s) - 2)), "int64", n)
+            table = grams.table()
+            if hi == lo + 1:
+                out[lo] = np.bincount(ids, minlength=len(table)) @ table
+            else:
+                ends = np.cumsum(sizes[lo:hi])
+                out[lo:hi] = np.add.reduceat(table[ids], np.concatenate([[0], ends[:-1]]), axis=0)
+            lo = hi
+        return out
+
+    def scores(self, letters: list[str], grams: "Grams") -> np.ndarray:
+        """Per word and language; the best is 0, and all are 0 where no language has the script."""
+        use = np.zeros((len(letters), len(self.langs)), bool)
+        for i, w in enumerate(letters):
+            if w:
+                use[i, list(self.scripts.get(script_of(w), ()))] = True
+        whole = self.share[[self.row.get(w, -1) for w in letters]]
+        out = np.log(0.5 * whole + 0.5 * np.exp(np.maximum(self.spelled(letters, grams), -600.0)))
+        top = np.where(use, out, -np.inf).max(1, keepdims=True)
+        return np.where(use.any(1, keepdims=True), np.where(use, np.maximum(out - np.where(np.isfinite(top), top, 0.0), -50.0), -50.0), 0.0)
+
+
+class Grams(dict):
+    """Row number of each trigram in a growing table of logarithms."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.new, self.made = model, [], np.zeros((0, len(model.langs)))
+
+    def __missing__(self, s: str) -> int:
+        self[s] = n = len(self)
+        self.new.append(self.model.gram(s))
+        return n
+
+    def table(self) -> np.ndarray:
+        if self.new:
+            self.made, self.new = np.concatenate([self.made, np.array(self.new)]), []
+        return self.made
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, words: int = FIT_WORDS) -> Model:
@@ -114,19 +167,19 @@ class Scored(dict):
 
     def reset(self):
         self.clear()
-        self.new = []
+        self.new, self.grams = [], Grams(self.model)
         self.score, self.size = np.zeros((0, max(1, len(self.model.langs))), "float32"), np.zeros(0, "int64")
 
     def __missing__(self, word: str) -> int:
-        letters = letters_of(word)
         self[word] = n = len(self)
-        self.new.append((self.model.scores(letters) or (0.0,), len(letters)))
+        self.new.append(letters_of(word))
         return n
 
     def tables(self):
         if self.new:
-            self.score = np.concatenate([self.score, np.array([x[0] for x in self.new], "float32")])
-            self.size = np.concatenate([self.size, np.array([x[1] for x in self.new], "int64")])
+            found = self.model.scores(self.new, self.grams) if self.model.langs else np.zeros((len(self.new), 1))
+            self.score = np.concatenate([self.score, found.astype("float32")])
+            self.size = np.concatenate([self.size, np.array([len(x) for x in self.new], "int64")])
             self.new = []
         return self.score, self.size
 
