@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from wayline.llm.words import tidy
 from wayline.operators.stage import stage
 
 FIT_ROWS, FIT_WORDS, SWITCH, KEPT = 2_000, 20_000, 6.0, 300_000
@@ -249,7 +250,7 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
                         out.append(("und", 0.0, []))
             yield b[["doc_id"]].assign(lang_pred=[x[0] for x in out], score=[x[1] for x in out], spans=[[{"first": a, "words": n, "lang": x} for a, n, x in y[2]] for y in out])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, lang_pred string, score double, spans array<struct<first:int,words:int,lang:string>>")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id bigint, lang_pred string, score double, spans array<struct<first:int,words:int,lang:string>>")
 
 
 def held_out(doc_id="doc_id"):

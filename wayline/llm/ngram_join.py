@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from wayline.llm.words import WordHashes, groups, mix, shingles, split
+from wayline.llm.words import WordHashes, groups, mix, shingles, split, tidy
 from wayline.operators.components import stars
 from wayline.operators.stage import stage
 
@@ -80,7 +80,7 @@ def _own_text(rows: DataFrame, n: int) -> DataFrame:
             on = [_key(np.unique(shingles(known.of(split(t)), n))) == (low, high) for t, low, high in zip(b["text"], b["low"], b["high"])]
             yield b.loc[on, ["cid", "size", "text"]]
 
-    return rows.select("cid", "size", "text", "low", "high").mapInPandas(run, "cid bigint, size bigint, text string").dropDuplicates(["cid"])
+    return rows.select("cid", "size", "text", "low", "high").mapInPandas(tidy(run), "cid bigint, size bigint, text string").dropDuplicates(["cid"])
 
 
 def sketch(docs: DataFrame, n: int) -> DataFrame:
@@ -102,7 +102,7 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
                     out["signature"], out["bands"] = sigs, bands
                 yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, _SKETCH)
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), _SKETCH)
 
 
 def _survivors(sig: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, floor: dict[int, int]):
@@ -144,7 +144,7 @@ def candidates(units: DataFrame, threshold: float, tolerance: float) -> DataFram
                 at = np.unique(np.concatenate([left, right]))
                 yield pd.DataFrame({"h": g["h"].iloc[0], "i": i, "j": j, "cid": cid[at], "partners": [cid[right[left == x]] for x in at]})
 
-    return units.mapInPandas(run, "h bigint, i int, j int, cid bigint, partners array<bigint>")
+    return units.mapInPandas(tidy(run), "h bigint, i int, j int, cid bigint, partners array<bigint>")
 
 
 def overlaps(sets: list[np.ndarray], wide: int = 8192) -> np.ndarray:
@@ -199,7 +199,7 @@ def verify(rows: DataFrame, n: int, threshold: float) -> DataFrame:
             yield pd.DataFrame({"cid": [*cid[linked], *(cid[a] for a, _ in edges)], "links": [*links[linked].astype("int64"), *[0] * len(edges)],
                                 "to": pd.array([*[None] * len(linked), *(cid[b] for _, b in edges)], "Int64")})
 
-    return rows.mapInPandas(run, "cid bigint, links bigint, to bigint")
+    return rows.mapInPandas(tidy(run), "cid bigint, links bigint, to bigint")
 
 
 def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:

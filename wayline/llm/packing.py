@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from wayline.llm.byte_bpe import Kept
+from wayline.llm.words import tidy
 from wayline.operators.stage import stage
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -85,7 +86,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int, with_ids: bool =
                         rows.append((doc, k, lo, hi - lo, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype("int32")] if with_ids else [])))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES + (", ids array<int>" if with_ids else ""))
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def _fill(have: np.ndarray, gap: int, own: int) -> tuple[int, ...] | None:
@@ -195,4 +196,4 @@ def pack(parts: DataFrame, size: int) -> DataFrame:
             yield b.drop(columns="_rank").assign(sequence_id=seq, offset=off)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInPandas(run, f"{schema}, sequence_id bigint, `offset` bigint")
+    return ranked.mapInPandas(tidy(run), f"{schema}, sequence_id bigint, `offset` bigint")

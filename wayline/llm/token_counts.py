@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from wayline.llm.byte_bpe import KEPT, Kept, Vocabulary
+from wayline.llm.words import tidy
 
 STATES = 60_000
 CHUNK = 1 << 16
@@ -177,4 +178,4 @@ def token_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
             n = [c.count(t) for t in texts]
             yield b[["doc_id"]].assign(n_bytes=[len(t.encode()) for t in texts], n_tokens=n, over_limit=[x > limit for x in n])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

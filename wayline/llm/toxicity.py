@@ -18,6 +18,8 @@ import sys
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from wayline.llm.words import tidy
+
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2_000, 4_000, 20_000
 LANDMARKS, DECAY, SPAN, SIGNS, ROUNDS, KEPT = 128, 0.6, 6, 64, 3, 300_000
 DECIDED = 0.7
@@ -283,7 +285,7 @@ def toxicity(docs: DataFrame, table: Table | None) -> DataFrame:
             got = list(_scored(b["text"].tolist(), known, shared.value))
             yield b[["doc_id"]].assign(score=[x for x, _ in got], worst=[w for _, w in got])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, score double, worst string")
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id bigint, score double, worst string")
 
 
 def kept(docs: DataFrame, table: Table | None, limit: float = DECIDED) -> DataFrame:
@@ -300,7 +302,7 @@ def kept(docs: DataFrame, table: Table | None, limit: float = DECIDED) -> DataFr
             got = _scored(b.column("text").to_pylist(), known, shared.value)
             yield b.filter(pa.array([x < limit for x, _ in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out():

@@ -1,5 +1,7 @@
-"""Hashes of words and word sequences, the same in every process."""
+"""Hashes of words and word sequences, the same in every process, and what tasks over batches share."""
 
+import ctypes
+import gc
 import hashlib
 
 import numpy as np
@@ -47,6 +49,22 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def tidy(run):
+    """A task body after which the worker, which Spark keeps for later stages, hands the memory of its tables back to the system."""
+
+    def whole(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def groups(batches, keys: list[str]):
     """(key, rows) of a stream of Arrow batches that is sorted by ``keys``; a group may cross batches."""
     import pandas as pd
