@@ -53,7 +53,8 @@ def test_language_edges_and_spans(spark):
 
 def test_scripts_narrow_the_candidates():
     m = language_id.Model({"en": {"the": 3}, "ru": {"дом": 3}})
-    assert m.scores("house")[1] == -50 and m.scores("река")[0] == -50 and m.scores("漢") == (0.0, 0.0)
+    house, river, other = m.scores(["house", "река", "漢"], language_id.Grams(m)).tolist()
+    assert house[1] == -50 and river[0] == -50 and other == [0.0, 0.0]
 
 
 def plain_kernel(a, b):
