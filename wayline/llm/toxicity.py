@@ -145,15 +145,17 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.3) ->
     return w
 
 
-def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _calibrate(margin: np.ndarray, y: np.ndarray, nothing: float, spread: np.ndarray) -> tuple[float, float]:
     """Slope and base of the probability: ``DECIDED`` at the margin with the fewest errors, a wrong accusation counting twice; of
-    several such margins the middle of the widest gap."""
-    values = np.unique(margin)
-    cuts = np.concatenate([[values[0] - 0.1], (values[1:] + values[:-1]) / 2, [values[-1] + 0.1]])
-    wide = np.concatenate([[0.0], np.diff(values), [0.0]])
+    several such margins one that finds most words with signs between letters, then the middle of the widest gap. ``nothing`` is the margin of a word that shares no subsequence with a landmark:
+    it speaks for no toxicity, so the decision lies above it."""
+    values = np.unique(np.concatenate([margin, spread, [nothing]]))
+    values = values[values >= nothing]
+    cuts = np.concatenate([(values[1:] + values[:-1]) / 2, [values[-1] + 0.1]])
+    wide = np.concatenate([np.diff(values), [0.0]])
     good, bad = np.sort(margin[y == 1]), np.sort(margin[y == 0])
     errors = np.searchsorted(good, cuts) + 2 * (len(bad) - np.searchsorted(bad, cuts))
-    best = max(np.flatnonzero(errors == errors.min()), key=lambda i: wide[i])
+    best = max(np.flatnonzero(errors == errors.min()), key=lambda i: ((spread > cuts[i]).sum(), wide[i]))
     slope = 6.0 / max(0.1, np.median(good) - np.median(bad))
     return float(slope), float(np.log(DECIDED / (1 - DECIDED)) - slope * cuts[best])
 
@@ -210,7 +212,9 @@ def train(toxic: list[list[list[str]]], clean: list[list[list[str]]], seed: int
         gram = _kernel(landmarks, landmarks)
         value, vector = np.linalg.eigh((gram + gram.T) / 2 + 1e-6 * np.eye(len(landmarks)))
         root = vector / np.sqrt(np.maximum(value, 1e-6))
-        w = _svm(_kernel(words, landmarks) @ root, y, cost)
+        # A word that shares nothing with any landmark is one more clean example: it settles the bias.
+        x = np.vstack([_kernel(words, landmarks) @ root, np.zeros(len(landmarks))])
+        w = _svm(x, np.append(y, -1.0), np.append(cost, 100.0))
         alpha = root @ w[:-1]
         weights = np.zeros(SIGNS ** 3)
         for a, d in zip(alpha, features(landmarks)):
@@ -224,7 +228,7 @@ def train(toxic: list[list[list[str]]], clean: list[list[list[str]]], seed: int
         look = lambda w: of[w] + 0.1 * odds(w)
         worst = [max((max(s, key=look) for s in d if s), key=look) for d in bags]
     tops = np.array([max(of[w] for s in d for w in s) for d in bags] + [max((margin[w] for w in d), default=-2.0) for d in clean_docs])
-    table.slope, table.base = _calibrate(tops, np.array([1.0] * len(bags) + [0.0] * len(clean_docs)))
+    table.slope, table.base = _calibrate(tops, np.array([1.0] * len(bags) + [0.0] * len(clean_docs)), table.bias, table.margins(spread))
     return table
 
 
