@@ -139,6 +139,54 @@ def test_one_edit():
     assert not any(line_dedup.one_edit(a, x.split()) for x in ("b a c d", "a b", "a x x d", "x a b c", "a b c d e f"))
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_within_equals_the_edit_distance(seed):
+    r = random.Random(seed)
+    for _ in range(300):
+        a, b = ([r.randint(0, 3) for _ in range(r.randint(0, 12))] for _ in "ab")
+        for most in range(5):
+            assert line_dedup.within(a, b, most) == (distance(a, b) <= most)
+
+
+@pytest.mark.parametrize("seed,block", [(1, 256), (2, 3)])
+def test_growing_bound_misses_no_line(spark, seed, block):
+    r = random.Random(seed)
+    base = [[f"w{r.randint(0, 30)}" for _ in range(r.randint(18, 90))] for _ in range(8)] + [[f"{x}{r.randint(0, 10 ** 6)}" for x in "abcde"] for _ in range(4)]
+    values = []
+    for d in range(60):
+        w = list(r.choice(base))
+        if len(w) > 8:
+            for _ in range(r.choice([0, 1, 2, 3, 6, 9, 12])):
+                k = r.randrange(len(w))
+                w[k:k + r.randint(0, 1)] = [f"n{r.randint(0, 9)}"] * r.randint(0, 1)
+        line = " ".join(w)
+        if len(w) <= 8:
+            for _ in range(r.choice([0, 1, 2])):
+                k = r.randrange(len(line))
+                line = line[:k] + r.choice(["", "z"]) + line[k + r.randint(0, 1):]
+        values.append((d, line))
+
+    def alike(x, y):
+        a, b = x.split(), y.split()
+        if min(len(a), len(b)) >= 8:
+            return distance(a, b) <= max(1, min(len(a), len(b)) // 10)
+        return x == y or max(len(a), len(b)) < 8 and min(len(x), len(y)) >= 30 and distance(x, y) <= 1
+
+    want = {d for d, x in values if any(alike(x, y) for _, y in values[:d])}
+    one = {d for d, x in values if any(x == y or line_dedup.one_edit(x.split(), y.split()) for _, y in values[:d])}
+    _, drop = line_dedup.duplicate_lines(rows(spark, values), block=block)
+    assert {x.doc_id for x in drop.collect()} == want and len(want - one) > 5
+
+
 def test_groups_cross_batches():
     import pandas as pd
 
