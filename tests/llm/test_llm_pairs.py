@@ -246,6 +246,20 @@ def test_licences(spark):
     assert license_scan.scan(rows(spark, [])).collect() == []
 
 
+def test_whole_and_wrapped_licences(spark):
+    import textwrap
+
+    from wayline.llm.license_texts import TEXTS
+
+    text = dict(TEXTS)
+    mit, apache = text["MIT"], text["Apache-2.0"]
+    wrap = lambda t, n: textwrap.fill(" ".join(t.split()), n, break_long_words=False)
+    values = [(1, f"MIT License\n\nCopyright (c) 2020 Some One\n\n{wrap(next(t for k, t in TEXTS if k == 'MIT'), 70)}\n"), (2, f"prose here\n{wrap(apache, 40)}\nmore prose"),
+              (3, "some prose\nReleased under\nthe MIT License.\nmore"), (4, "x " + wrap(mit, 60)), (5, wrap(text["GPL-3.0-or-later"], 50)), (6, "prose\n" + mit.replace("\n", " ")), (None, wrap(mit, 33))]
+    got = {(x.doc_id, x.license): (x.n_lines, x.whole_text) for x in license_scan.scan(rows(spark, values)).collect()}
+    assert got == {(1, "MIT"): (1, True), (2, "Apache-2.0"): (1, False), (3, "MIT"): (1, False), (5, "GPL-3.0-or-later"): (0, True), (6, "MIT"): (1, False), (None, "MIT"): (0, True)}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

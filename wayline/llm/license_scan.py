@@ -2,13 +2,22 @@
 
 A text is brought to one spelling (case, punctuation, white space, copyright lines and equivalent spellings do not count) and its digest is
 joined with the digests of known licence texts. The whole document and each of its lines are texts of their own, so both a file that is
-a licence and a notice inside other prose are found; a text matches only as a whole. Only digests are compared, the known ones are a table of the
+a licence and a notice inside other prose are found; a text matches only as a whole. Runs of consecutive lines are texts too, however they are
+wrapped: a run that starts with a line, ends with a line and has as many words as a known text is digested. Only digests are compared, the known ones are a table of the
 caller's fixed list, and each document is read whole and never shuffled. Null and empty texts match nothing. Rows that repeat an id
 are reported together.
 """
 
+import hashlib
+from collections import defaultdict
+
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from wayline.llm.license_texts import DIGESTS, TEXTS
+from wayline.llm.words import tidy
+
 # Notices and the licence they stand for.
 KNOWN = [
     ("MIT", "Released under the MIT License."),
@@ -24,6 +33,9 @@ KNOWN = [
 # Words that count as the same.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("copyright holder", "copyright owner"),
              ("favour", "favor"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("per cent", "percent"), ("whilst", "while")]
+_NOT_WORD = regex.compile(r"[^\p{L}\p{N}]+")
+# In a wrapped text a line may start with the word, so a year, a sign or a blank to fill in has to follow it.
+_HOLDER = regex.compile(r"^[^\p{L}\p{N}(©]*(?:copyright\s*(?:\(c\)|©|\d{4}|<|\[)|\(c\)\s|©)")
 COPYRIGHT = r"(?i)^\W*(?:copyright|\(c\)|©)\W"
 
 
@@ -51,8 +63,77 @@ def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
     return d.filter("c <> ''").select("license", F.sha2("c", 256).alias("digest"), F.length("c").alias("size")).distinct()
 
 
+def canonical(text: str) -> tuple[list[str], list[int]]:
+    """Canonical words of a text, and the number of words before each line that has one."""
+    words, starts = [], []
+    for line in text.lower().split("\n"):
+        w = [] if _HOLDER.match(line) else _NOT_WORD.sub(" ", line).split()
+        if w:
+            starts.append(len(words))
+            words += w
+    one = {a: b for a, b in SPELLINGS if " " not in a}
+    two = {tuple(a.split()): b.split() for a, b in SPELLINGS if " " in a}
+    found = set(words)
+    if not found.isdisjoint(one):
+        words = [one.get(w, w) for w in words]
+        found = set(words)
+    if not found.isdisjoint(a for a, _ in two):
+        moved, out, i = {}, [], 0
+        while i < len(words):
+            moved[i] = len(out)
+            pair = two.get(tuple(words[i:i + 2]))
+            out += pair or words[i:i + 1]
+            i += 2 if pair else 1
+        words, starts = out, [moved[x] for x in starts if x in moved]
+    return words, starts
+
+
+def digest(words: list[str]) -> str:
+    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def known_runs(known=KNOWN, texts=TEXTS, digests=DIGESTS) -> dict[int, dict[str, tuple[str, int]]]:
+    """By number of words and digest: the licence and the fewest lines a run has (single lines of notices are found by the join)."""
+    out: dict[int, dict[str, tuple[str, int]]] = defaultdict(dict)
+    for least, table in ((1, texts), (2, known)):
+        for name, text in table:
+            words, _ = canonical(text)
+            if words:
+                out[len(words)][digest(words)] = name, least
+    for name, n, value in digests:
+        out[n][value] = name, 1
+    return dict(out)
+
+
+def runs(docs: DataFrame, known: dict[int, dict[str, tuple[str, int]]]) -> DataFrame:
+    """``doc_id``, ``license`` and ``whole`` of each run of lines that is a known text."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for d, text in zip(b["doc_id"], b["text"]):
+                words, starts = canonical(text)
+                line = {x: k for k, x in enumerate([*starts, len(words)])}
+                for k, at in enumerate(starts):
+                    for n, table in known.items():
+                        end = line.get(at + n)
+                        if end is not None:
+                            name, least = table.get(digest(words[at:at + n]), (None, 0))
+                            whole = k == 0 and end == len(starts)
+                            if name is not None and end - k >= least:
+                                if whole:
+                                    out.append((d, name, True))
+                                if not whole or end - k == 1:
+                                    out.append((d, name, False))
+            yield pd.DataFrame(out, columns=["doc_id", "license", "whole"])
+
+    # An id as text stays exact beside a null id.
+    return (docs.filter("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(tidy(run), "doc_id string, license string, whole boolean")
+            .withColumn("doc_id", F.col("doc_id").cast("bigint")))
+
+
 def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
-    """Per document and licence found: ``license``, ``n_lines`` that state it, ``whole_text``."""
+    """Per document and licence found: ``license``, ``n_lines`` (lines, or runs of lines inside the text) that state it, ``whole_text``."""
     digests = known_digests(docs.sparkSession, known)
     # A spelling shortens a text by less than half, so words more than twice as long as every known text can match none.
     longest = 2 * (digests.agg(F.max("size")).first()[0] or 0)
@@ -62,4 +143,5 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     short = F.transform(F.filter("lines", lambda x: (x != "") & (F.length(x) <= longest)), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("c")))
     parts = lines.select("doc_id", F.explode(F.concat(whole, short)).alias("p")).select("doc_id", "p.whole", spelled(F.col("p.c")).alias("c")).filter("c <> ''")
     found = parts.select("doc_id", "whole", F.sha2("c", 256).alias("digest")).join(F.broadcast(digests.select("license", "digest")), "digest")  # as many rows as the fixed list
+    found = found.select("doc_id", "license", "whole").unionByName(runs(docs, known_runs(known)))
     return found.groupBy("doc_id", "license").agg(F.sum((~F.col("whole")).cast("bigint")).alias("n_lines"), F.max("whole").alias("whole_text"))
