@@ -51,6 +51,14 @@ def test_language_edges_and_spans(spark):
     assert language_id.label(edge(spark, []), model).collect() == []
 
 
+def test_copies_do_not_change_the_sample(spark):
+    texts = [("en", f"the house number {x}{y} of road") for x in "abcdefghij" for y in "klmnopqrst"]
+    once = spark.createDataFrame(texts + [("en", "zzz zzz")], "lang string, text string")
+    often = spark.createDataFrame(texts + [("en", "zzz zzz")] * 3000, "lang string, text string")
+    assert language_id.fit(once, 60).known == language_id.fit(often, 60).known
+    assert language_id.fit(often, 500).known[0]["zzz"] == 2 and language_id.fit(often, 500).known[0]["the"] == 100
+
+
 def test_scripts_narrow_the_candidates():
     m = language_id.Model({"en": {"the": 3}, "ru": {"дом": 3}})
     house, river, other = m.scores(["house", "река", "漢"], language_id.Grams(m)).tolist()

@@ -6,7 +6,7 @@ letters first; only languages learned with that script stay candidates, and a wo
 The best labelling of a text maximises the sum of word scores less a penalty for each change of language (Viterbi). All texts of an Arrow
 batch step through their words side by side, longest first, so the cost follows the words and one very long text holds up nobody.
 
-The model is fitted on a bounded, hashed sample of ``FIT_ROWS`` labelled rows per language; its word lists are counted by Spark and have
+The model is fitted on a bounded, hashed sample of ``FIT_ROWS`` different labelled texts per language; its word lists are counted by Spark and have
 ``FIT_WORDS`` entries per language at most. Null texts and texts without a letter are ``und``; if nothing could be learned, all are.
 """
 
@@ -141,14 +141,17 @@ class Grams(dict):
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, words: int = FIT_WORDS) -> Model:
-    """From rows with ``text`` and a non-null ``lang``: at most about ``rows`` per language, by hash of the text."""
+    """From rows with ``text`` and a non-null ``lang``: at most about ``rows`` different texts per language, by hash; copies count once."""
     labelled = labelled.filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    keys = stage(labelled.select("lang", F.xxhash64("text").alias("key")).distinct())
+    counts = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     part = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     chosen = F.lit(False)
     for lang, n in sorted(counts.items()):
+        # Few texts are all taken; a share that leaves some out has enough of them not to end up empty.
         chosen = chosen | ((F.col("lang") == lang) & (part < int(min(1.0, rows / n) * (1 << 30))))
-    found = labelled.filter(chosen).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    once = labelled.filter(chosen).select("lang", "text").distinct()
+    found = once.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     found = stage(found)
     kept: dict[str, dict[str, int]] = {}
     for lang in sorted(counts):
