@@ -98,6 +98,13 @@ def test_gaps_and_inserted_characters(table):
     assert max(score(t) for t in ("", "ther an whed on", "reanoner whthan", "")) < 0.7
 
 
+def test_wide_gaps(table):
+    score = lambda t: next(iter(toxicity._scored([t], toxicity.Margins(), table)))[0]
+    for gap in ("-", "--", "---", "*.*", "12", "  ", " \t ", "   "):
+        assert min(score(f"ther an {gap.join(w)} whed") for w in ("scumbag", "idiotic", "moronic")) >= 0.7, gap
+    assert max(score(f"ther an {gap.join('reanon')} whed") for gap in ("-", "---", "  ")) < 0.7
+
+
 def test_toxicity_edges(spark, table):
     got = {r.doc_id: r.score for r in toxicity.toxicity(edge(spark), table).collect()}
     assert got[1] == got[2] == got[3] == 0 and all(0 <= s <= 1 for s in got.values())

@@ -7,7 +7,8 @@ a sentence toxic from the words of clean ones. Labels belong to documents, so tr
 document that look worst stand for it, the machine is trained against the clean words that look most toxic, and the choice is made again.
 
 Landmark weights fold into one table over the hashed alphabet's triples, so a word is scored by looking its subsequences up. A document
-scores as its worst word; letters set apart by spaces are joined first. Every text is read whole, rows never leave their partition, and the
+scores as its worst word; letters set apart by any white space are joined first, and a word with other signs between its letters is
+also scored without them, however many they are. Every text is read whole, rows never leave their partition, and the
 model is plain data of fixed size. It is fitted on a bounded, hashed sample of labelled documents (``FIT_TOXIC``, ``FIT_CLEAN``, texts up
 to ``FIT_CHARS`` characters). Null and empty texts score 0; without labels of both kinds, or with an empty table, all texts do.
 """
@@ -24,7 +25,8 @@ FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2_000, 4_000, 20_000
 LANDMARKS, DECAY, SPAN, SIGNS, ROUNDS, KEPT = 128, 0.6, 6, 64, 3, 300_000
 DECIDED = 0.7
 _PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
-_SPACED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){3,}(?!\S)")
+_SIGNS = re.compile(r"[\W\d_]+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -32,6 +34,11 @@ def normal(word: str) -> str:
     return sys.intern(_EDGES.sub("", word.lower()))
 
 
+def letters(word: str) -> str:
+    """The letters of a normalised word."""
+    return word if word.isalpha() else sys.intern(_SIGNS.sub("", word))
+
+
 def codes(words: list[str]) -> np.ndarray:
     """Signs of words of one length, with a mark before and after; letters a to z keep their own sign, all others share the rest."""
     points = np.array([[ord(c) for c in w] for w in words], "int64").reshape(len(words), -1)
@@ -201,7 +208,7 @@ def train(toxic: list[list[list[str]]], clean: list[list[list[str]]], seed: int
             if len(w) > 3:
                 sign = "*.-_"[len(w) % 4]
                 k = int(rng.integers(1, len(w)))
-                spread += [sign.join(w), w[:k] + sign + w[k:]]
+                spread += [sign.join(w), w[:k] + sign + w[k:], (sign * 2).join(w), (sign * 3).join(w)]
         bad = hard + [vocabulary[i] for i in rng.permutation(len(vocabulary))[:20_000]]
         bad = [w for w in dict.fromkeys(bad) if w not in counts]
         near = bad[:LANDMARKS // 3] + bad[len(hard):len(hard) + LANDMARKS // 6]
@@ -264,7 +271,11 @@ class Margins(dict):
         if len(self) > KEPT:
             self.clear()
         new = [w for w in words if w not in self]
-        self.update(zip(new, table.margins([normal(w) for w in new]).tolist()))
+        plain = [normal(w) for w in new]
+        self.update(zip(new, table.margins(plain).tolist()))
+        signed = [(w, bare) for w, x in zip(new, plain) if len(bare := letters(x)) > 3 and bare != x]
+        for (w, _), margin in zip(signed, table.margins([bare for _, bare in signed]).tolist()):
+            self[w] = max(self[w], margin)
 
 
 def _scored(texts: list, known: Margins, table: Table):
