@@ -10,7 +10,7 @@ blocks of equal length and hash; where both are equal the content is one. Otherw
 the rest goes through the same step again. A text held by a third of all rows is combined before that shuffle, and all joins are
 between exchanged tables that the runtime may split.
 
-Nulls count as empty. Rows that repeat an id and a text are counted, each is returned, and the first of them can be the one that stays.
+Null texts count as empty; a row with a null id counts in its group, is returned, and cannot be the one that stays. Rows that repeat an id and a text are counted, each is returned, and the first of them can be the one that stays.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -56,7 +56,8 @@ def _block_names(blocks: DataFrame):
 
 def identities(docs: DataFrame, size: int = BLOCK, hashed=block_hash) -> DataFrame:
     """``doc_id``, ``text_sha256``, ``n_rows`` (rows alike in both), and the identity (``n_blocks``, ``name``) of the text."""
-    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    # An id in a struct is a key that equals itself where it is null, in joins too.
+    rows = (docs.select(F.struct("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
             .select("doc_id", F.sha2("t", 256).alias("sha"), F.explode(F.transform(_cut(F.col("t"), size), lambda b, i: F.struct(i.alias("pos"), b.alias("block")))).alias("x"))
             .select("doc_id", "sha", "x.pos", F.length("x.block").alias("len"), hashed(F.col("x.block")).alias("hash"), "x.block"))
     shared, odd = _block_names(rows)
@@ -79,7 +80,7 @@ def identities(docs: DataFrame, size: int = BLOCK, hashed=block_hash) -> DataFra
         more = stage(level.groupBy("doc_id", "sha").agg(F.max("pos").alias("last")).filter("last > 0").select("doc_id", "sha"))
         done = done.unionByName(level.join(more, ["doc_id", "sha"], "left_anti").select("doc_id", "sha", "n_rows", "n_blocks", "name"))
         level = level.join(more, ["doc_id", "sha"], "left_semi")
-    return done.withColumnRenamed("sha", "text_sha256")
+    return done.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("sha").alias("text_sha256"), "n_rows", "n_blocks", "name")
 
 
 def exact_dedup(docs: DataFrame, size: int = BLOCK, hashed=block_hash) -> DataFrame:
@@ -87,4 +88,4 @@ def exact_dedup(docs: DataFrame, size: int = BLOCK, hashed=block_hash) -> DataFr
     ids = stage(identities(docs, size, hashed))
     groups = ids.groupBy("n_blocks", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
     rows = ids.join(stage(groups), ["n_blocks", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
-    return rows.select("doc_id", "keep_id", F.col("group_size").cast("bigint"), ((F.col("doc_id") == F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    return rows.select("doc_id", "keep_id", F.col("group_size").cast("bigint"), F.when(F.col("doc_id").isNotNull(), (F.col("doc_id") == F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")

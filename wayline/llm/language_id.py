@@ -253,7 +253,9 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
                         out.append(("und", 0.0, []))
             yield b[["doc_id"]].assign(lang_pred=[x[0] for x in out], score=[x[1] for x in out], spans=[[{"first": a, "words": n, "lang": x} for a, n, x in y[2]] for y in out])
 
-    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id bigint, lang_pred string, score double, spans array<struct<first:int,words:int,lang:string>>")
+    # An id as text stays exact beside a null id.
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(tidy(run), "doc_id string, lang_pred string, score double, spans array<struct<first:int,words:int,lang:string>>")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def held_out(doc_id="doc_id"):

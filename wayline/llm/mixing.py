@@ -92,5 +92,6 @@ def mixed(docs: DataFrame, *args, **kwargs) -> DataFrame:
     picked = mix(docs, *args, **kwargs).groupBy("doc_id", "text_key").agg(F.max("copies").alias("copies")).filter("copies > 0")
     cols = [f"_c{i}" for i in range(len(docs.columns))]
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, cols)], "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    rows = rows.join(picked, ["doc_id", "text_key"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    picked = picked.withColumn("_id", F.struct("doc_id")).drop("doc_id")  # a key that equals itself where the id is null
+    rows = rows.withColumn("_id", F.struct("doc_id")).join(picked, ["_id", "text_key"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     return rows.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, cols)])

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from wayline.llm.words import WordHashes, groups, mix, shingles, split, tidy
+from wayline.llm.words import WordHashes, groups, mix, shingles, split, text_key, tidy
 from wayline.operators.components import stars
 from wayline.operators.stage import stage
 
@@ -28,7 +28,7 @@ NGRAM, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 24, 4, 16, 1e-6
 BLOCK, BLOCK_GRAMS = 256, 1 << 20
 HASHES = BANDS * ROWS
-_SKETCH = "doc_id bigint, low bigint, high bigint, n int, signature binary, bands array<bigint>"
+_SKETCH = "doc_id string, tk bigint, low bigint, high bigint, n int, signature binary, bands array<bigint>"
 
 
 def _numbers(n: int, seed: int) -> np.ndarray:
@@ -71,8 +71,13 @@ def _key(s: np.ndarray) -> tuple[int, int]:
         return tuple(int(mix(x).sum(dtype="uint64").view("int64")) for x in (s + np.uint64(17), s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
 
 
+def _place():
+    """Order of the rows: null ids last, then by hash of the text. As a struct it is a key that equals itself where the id is null."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
+
+
 def _own_text(rows: DataFrame, n: int) -> DataFrame:
-    """One text per class; an id that repeats with another text is told by its n-grams."""
+    """One text per class, found by id and hash of the text and told by its n-grams."""
 
     def run(batches):
         known = WordHashes()
@@ -90,7 +95,7 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
             texts, ids = b["text"].tolist(), b["doc_id"]
             for at in range(0, len(texts), 256):
                 sets = [np.unique(shingles(known.of(split(t)), n)) for t in texts[at:at + 256]]
-                out = pd.DataFrame({"doc_id": ids.iloc[at:at + 256].to_numpy(), "low": 0, "high": 0, "n": [len(s) for s in sets], "signature": None, "bands": None})
+                out = pd.DataFrame({"doc_id": ids.iloc[at:at + 256].to_numpy(), "tk": b["tk"].iloc[at:at + 256].to_numpy(), "low": 0, "high": 0, "n": [len(s) for s in sets], "signature": None, "bands": None})
                 full = [i for i, s in enumerate(sets) if len(s)]
                 if full:
                     sig = signatures([sets[i] for i in full])
@@ -102,7 +107,9 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
                     out["signature"], out["bands"] = sigs, bands
                 yield out
 
-    return docs.select("doc_id", "text").mapInPandas(tidy(run), _SKETCH)
+    # An id as text stays exact beside a null id.
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_key().alias("tk"), "text")
+    return rows.mapInPandas(tidy(run), _SKETCH).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def _survivors(sig: np.ndarray, left: np.ndarray, right: np.ndarray, band: int, floor: dict[int, int]):
@@ -202,10 +209,11 @@ def verify(rows: DataFrame, n: int, threshold: float) -> DataFrame:
     return rows.mapInPandas(tidy(run), "cid bigint, links bigint, to bigint")
 
 
-def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+def near_texts(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """``near_duplicates`` with ``tk``, the hash of the text, and ``first``, the smallest (id, ``tk``) of the connected group."""
     sketches = stage(sketch(docs, n))
     classes = stage(sketches.filter("n > 0").groupBy("low", "high").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.max("n").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+        F.min("doc_id").alias("rep"), F.min(_place()).alias("place"), F.count("*").alias("size"), F.max("n").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
         .withColumn("cid", F.monotonically_increasing_id()))
     keyed = classes.select("cid", "n", F.posexplode("bands").alias("band", "h"))
     crowded = (keyed.groupBy("h").agg(F.count("*").alias("members"), F.sum("n").alias("grams")).filter("members > 1")
@@ -215,17 +223,22 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
              .select("cid", "band", "h", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
              .join(classes.select("cid", "signature"), "cid").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "cid"))
     found = stage(candidates(units, threshold, tolerance))
-    wanted = stage(found.select("cid").distinct().join(classes.select("cid", "rep", "size", "low", "high"), "cid"))
+    wanted = stage(found.select("cid").distinct().join(classes.select("cid", "place", "size", "low", "high"), "cid"))
     # What is wanted grows with the input: never a broadcast.
-    texts = stage(_own_text(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted.hint("merge"), "rep"), n))
+    texts = stage(_own_text(docs.withColumn("tk", text_key()).select(_place().alias("place"), "text").join(wanted.hint("merge"), "place"), n))
     units = found.join(texts, "cid").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "cid")
     checked = stage(verify(units, n, threshold))
     links = checked.groupBy("cid").agg(F.sum("links").alias("links"))
     tops = stars(checked.filter(F.col("to").isNotNull()).select(F.col("cid").alias("a"), F.col("to").alias("b")))
-    named = (classes.select("cid", "low", "high", "rep", "size").join(tops.select(F.col("a").alias("cid"), F.col("b").alias("top")), "cid", "left")
+    named = (classes.select("cid", "low", "high", "rep", "place", "size").join(tops.select(F.col("a").alias("cid"), F.col("b").alias("top")), "cid", "left")
              .join(links, "cid", "left").withColumn("top", F.coalesce("top", "cid")))
     named = stage(named)
-    first = named.groupBy("top").agg(F.min("rep").alias("class_id"))
-    known = stage(named.join(first, "top").select("low", "high", "class_id", F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")))
-    rows = sketches.filter("n > 0").select("doc_id", "low", "high").join(known, ["low", "high"]).select("doc_id", "class_id", "copy_id", "n_links")
-    return rows.unionByName(sketches.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("bigint").alias("n_links")))
+    first = named.groupBy("top").agg(F.min("rep").alias("class_id"), F.min("place").alias("first"))
+    known = stage(named.join(first, "top").select("low", "high", "class_id", "first", F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")))
+    rows = sketches.filter("n > 0").select("doc_id", "tk", "low", "high").join(known, ["low", "high"]).select("doc_id", "tk", "class_id", "copy_id", "n_links", "first")
+    alone = sketches.filter("n = 0").select("doc_id", "tk", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("bigint").alias("n_links"), _place().alias("first"))
+    return rows.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    return near_texts(docs, n, threshold, tolerance, block).select("doc_id", "class_id", "copy_id", "n_links")

@@ -14,7 +14,7 @@ shuffled, and the work of a task follows the bytes it reads.
 """
 
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from wayline.llm.byte_bpe import KEPT, Kept, Vocabulary
 from wayline.llm.words import tidy
@@ -178,4 +178,6 @@ def token_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
             n = [c.count(t) for t in texts]
             yield b[["doc_id"]].assign(n_bytes=[len(t.encode()) for t in texts], n_tokens=n, over_limit=[x > limit for x in n])
 
-    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    # An id as text stays exact beside a null id.
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(tidy(run), "doc_id string, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))

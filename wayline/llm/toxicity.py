@@ -300,7 +300,9 @@ def toxicity(docs: DataFrame, table: Table | None) -> DataFrame:
             got = list(_scored(b["text"].tolist(), known, shared.value))
             yield b[["doc_id"]].assign(score=[x for x, _ in got], worst=[w for _, w in got])
 
-    return docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id bigint, score double, worst string")
+    # An id as text stays exact beside a null id.
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(tidy(run), "doc_id string, score double, worst string")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def kept(docs: DataFrame, table: Table | None, limit: float = DECIDED) -> DataFrame:
