@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayline.llm import exact_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, token_counts as counts, toxicity
+from wayline.llm import exact_dedup, language_id, license_scan, line_dedup, merkle, mixing, ngram_join, packing, prefix_trie, quality_rules, retrieval_packing, token_counts as counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,10 +62,10 @@ def op3(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op5_token_counts")
@@ -116,3 +116,65 @@ def op7(spark, sf_dir):
 @query("op8_license_scan")
 def op8(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+#: The checksum of a number's digits, bit by bit, as DuckDB has no function for it.
+CRC32 = """(list_reduce(list_transform(range(8 * strlen(CAST({0} AS VARCHAR))), lambda i:
+  (ascii(CAST({0} AS VARCHAR)[i // 8 + 1]) >> CAST(i % 8 AS INT)) & 1), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295))"""
+
+
+@query("op11_prefix_trie", f"""
+WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+lists AS (SELECT c, list({{'r': role, 't': text}} ORDER BY pos) AS turns FROM own GROUP BY c),
+h AS (SELECT c, turns, c - c % 5 AS base, {CRC32.format("c")} AS crc FROM lists),
+full_ AS (SELECT h.c, CASE WHEN h.c = h.base THEN h.turns ELSE coalesce(b.turns, [])[:CAST(xor(h.crc, 4294967295) % 9 AS INT)] || h.turns[CAST(xor(h.crc, 4294967295) % 9 AS INT) + 1:] END AS turns
+  FROM h LEFT JOIN lists b ON b.c = h.base),
+pre AS (SELECT c, len(turns) AS n, d, turns[:d] AS key FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM full_)),
+node AS (SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(any_value(key[d].t)) END AS saved,
+  coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '') AS ends FROM pre GROUP BY d, key),
+kids AS (SELECT d - 1 AS d, key[:d - 1] AS key, count(*) AS k FROM node WHERE d > 0 GROUP BY 1, 2),
+whole AS (SELECT node.*, coalesce(k, 0) AS k FROM node LEFT JOIN kids USING (d, key)),
+sums AS (SELECT d, key, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved
+  FROM (SELECT unnest(range(0, w.d + 1)) AS d, w.d AS own, w.key AS full_key, k, saved FROM whole w) x, LATERAL (SELECT x.full_key[:x.d] AS key) GROUP BY 1, 2)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.k AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM whole w JOIN sums s USING (d, key) LEFT JOIN node p ON w.d > 0 AND p.d = w.d - 1 AND p.key = w.key[:w.d - 1]""")
+def op11(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+
+
+def _leaf(**changed: str) -> str:
+    return "sha256(" + " || ".join(_field(changed.get(c, c)) for c in merkle.FIELDS) + ")"
+
+
+_UP = "list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], '')))"
+_FOLD = """CASE WHEN xor(pos, 1) >= len(nodes) THEN sha256(node) WHEN pos % 2 = 1 THEN sha256(nodes[xor(pos, 1) + 1] || node) ELSE sha256(node || nodes[xor(pos, 1) + 1]) END"""
+
+
+@query("op12_merkle_manifest", f"""
+WITH RECURSIVE l AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf()} AS leaf,
+  CASE WHEN xor({CRC32.format("doc_id")}, 4294967295) % 7 = 0 THEN {_leaf(n_chars="(n_chars + 1)")} END AS claimed FROM documents),
+r AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+lv AS (SELECT g, 0 AS lvl, list(leaf ORDER BY pos) AS nodes FROM r GROUP BY g UNION ALL SELECT g, lvl + 1, {_UP} FROM lv WHERE len(nodes) > 1),
+sub AS (SELECT g, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM lv WHERE len(nodes) = 1),
+tl AS (SELECT 0 AS lvl, list(subroot ORDER BY pos) AS nodes FROM sub UNION ALL SELECT lvl + 1, {_UP} FROM tl WHERE len(nodes) > 1),
+root AS (SELECT nodes[1] AS root FROM tl WHERE len(nodes) = 1),
+f AS (SELECT id, g, 0 AS lvl, pos, coalesce(claimed, leaf) AS node, '' AS proof FROM r
+  UNION ALL SELECT id, f.g, f.lvl + 1, pos // 2, {_FOLD}, proof || coalesce(nodes[xor(pos, 1) + 1], '') FROM f JOIN lv ON lv.g = f.g AND lv.lvl = f.lvl WHERE len(nodes) > 1),
+top AS (SELECT f.id, f.node, f.proof, s.pos FROM f JOIN lv ON lv.g = f.g AND lv.lvl = f.lvl AND len(lv.nodes) = 1 JOIN sub s ON s.g = f.g),
+t AS (SELECT id, 0 AS lvl, pos, node, proof FROM top
+  UNION ALL SELECT id, t.lvl + 1, pos // 2, {_FOLD}, proof || coalesce(nodes[xor(pos, 1) + 1], '') FROM t JOIN tl ON tl.lvl = t.lvl WHERE len(nodes) > 1)
+SELECT r.doc_id, r.leaf, sub.subroot, root.root, sha256(t.proof) AS proof_sha256, t.node AS folded_root, t.node = root.root AS verified
+FROM r JOIN sub ON sub.g = r.g JOIN t ON t.id = r.id JOIN tl ON tl.lvl = t.lvl AND len(tl.nodes) = 1, root""")
+def op12(spark, sf_dir):
+    return merkle.tampered_check(table(spark, sf_dir, "documents"))
+
+
+@query("op13_retrieval_packing")
+def op13(spark, sf_dir):
+    return retrieval_packing.retrieval_pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1, 2048)
