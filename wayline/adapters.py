@@ -307,6 +307,124 @@ SELECT s_suppkey AS external_id, CASE WHEN s_suppkey % 7 = 0 THEN concat(s_name,
        CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_nationkey END AS kind
 FROM supplier WHERE s_suppkey % 10 <> 1"""
 
+# --- borders as loose lines -----------------------------------------------------------------------------------
+VIEWS["a_number"] = """
+SELECT n.n_nationkey * 5 + r.r_regionkey AS j FROM nation n JOIN region r ON r.r_regionkey < 5"""
+# Rectangles of an area: kind of border by the part's number, cut into m lines a side, of which the first ``pieces`` are there.
+VIEWS["a_border"] = """
+SELECT p_partkey AS area_id, p_partkey % 12 AS kind, 70e0 + (p_partkey % 1000) * 5e-2 AS x, 5e0 + (CAST(floor(p_partkey / 1000) AS BIGINT) % 500) * 5e-2 AS y,
+       0.01e0 + p_size * 2e-4 AS w, 0.02e0 + p_size * 1e-4 AS h, CAST(1 + p_size % 25 AS BIGINT) AS m, p_partkey % 12 = 9 AS incomplete
+FROM part"""
+VIEWS["a_border_ring"] = """
+SELECT area_id, 'outer' AS role, 0 AS r, x, y, w, h, m, CASE WHEN kind = 2 THEN 4 * m - 1 ELSE 4 * m END AS pieces FROM a_border WHERE kind NOT IN (8, 11)
+UNION ALL SELECT area_id, 'outer', 1, x + w, y + h, w, h, m, 4 * m FROM a_border WHERE kind = 3
+UNION ALL SELECT area_id, 'inner', 0, x + w * 0.125e0, y + h * 0.125e0, w * 0.75e0, h * 0.75e0, m, 4 * m FROM a_border WHERE kind = 5
+UNION ALL SELECT area_id, 'outer', 1, x + w * 0.25e0, y + h * 0.25e0, w * 0.5e0, h * 0.5e0, m, 4 * m FROM a_border WHERE kind = 5
+UNION ALL SELECT area_id, 'inner', 1, x + w * 0.375e0, y + h * 0.375e0, w * 0.25e0, h * 0.25e0, m, 4 * m FROM a_border WHERE kind = 5
+UNION ALL SELECT area_id, 'inner', 0, x + w * CASE WHEN kind = 6 THEN 2e0 ELSE 0.25e0 END, y + h * 0.25e0, w * 0.5e0, h * 0.5e0, m,
+  CASE WHEN kind = 7 THEN 4 * m - 1 ELSE 4 * m END FROM a_border WHERE kind IN (4, 6, 7, 8)"""
+# One place on a rectangle per step; a line runs from one to the next, every third one backward; whole rings are one line.
+VIEWS["a_border_place"] = """
+SELECT b.area_id, b.role, b.r, b.m, b.pieces, n.j, b.x + b.w * CASE floor(n.j / b.m) WHEN 0 THEN (n.j % b.m) / CAST(b.m AS DOUBLE) WHEN 1 THEN 1e0 WHEN 2 THEN 1e0 - (n.j % b.m) / CAST(b.m AS DOUBLE) ELSE 0e0 END AS x,
+       b.y + b.h * CASE floor(n.j / b.m) WHEN 0 THEN 0e0 WHEN 1 THEN (n.j % b.m) / CAST(b.m AS DOUBLE) WHEN 2 THEN 1e0 ELSE 1e0 - (n.j % b.m) / CAST(b.m AS DOUBLE) END AS y
+FROM a_border_ring b JOIN a_number n ON n.j < 4 * b.m"""
+VIEWS["a_border_point"] = """
+SELECT area_id, role, CAST(r * 1000 + (j + area_id) % (4 * m) AS BIGINT) AS line, CAST((j * 7 + area_id) % 3 % 2 AS BIGINT) AS seq, x, y FROM a_border_place WHERE area_id % 12 > 0 AND j < pieces
+UNION ALL SELECT p.area_id, p.role, CAST(p.r * 1000 + (q.j + p.area_id) % (4 * p.m) AS BIGINT), CAST(1 - (q.j * 7 + p.area_id) % 3 % 2 AS BIGINT), p.x, p.y
+FROM a_border_place p JOIN (SELECT area_id, role, r, j, m, pieces, (j + 1) % (4 * m) AS k FROM a_border_place) q ON q.area_id = p.area_id AND q.role = p.role AND q.r = p.r AND q.k = p.j
+WHERE p.area_id % 12 > 0 AND q.j < p.pieces
+UNION ALL SELECT area_id, role, CAST(0 AS BIGINT), CAST(j AS BIGINT), x, y FROM a_border_place WHERE area_id % 12 = 0
+UNION ALL SELECT area_id, role, CAST(0 AS BIGINT), CAST(4 * m AS BIGINT), x, y FROM a_border_place WHERE area_id % 12 = 0 AND j = 0
+UNION ALL SELECT area_id, 'outer', CAST(9000 AS BIGINT), CAST(0 AS BIGINT), x, y FROM a_border WHERE kind = 10"""
+# Shapes in a unit square: (shape, role, ring, polygon, place, x, y).
+VIEWS["a_shape"] = """
+SELECT s AS shape, role, CAST(ring AS BIGINT) AS ring, CAST(polygon AS BIGINT) AS polygon, CAST(i AS BIGINT) AS seq, x / 8e0 AS x, y / 8e0 AS y FROM (
+""" + " UNION ALL ".join(
+    f"SELECT '{shape}' AS s, '{role}' AS role, {ring} AS ring, {polygon} AS polygon, {i} AS i, {x} AS x, {y} AS y"
+    for shape, rings in {
+        "square": [("outer", 0, 0, "00 80 88 08 00")], "bent": [("outer", 0, 0, "00 80 84 44 48 08 00")], "bow": [("outer", 0, 0, "00 88 80 08 00")],
+        "spike": [("outer", 0, 0, "00 40 80 60 68 08 00")], "eight": [("outer", 0, 0, "00 40 44 84 88 48 44 04 00")],
+        "ring": [("outer", 0, 0, "00 80 88 08 00"), ("inner", 1, 0, "22 62 66 26 22")], "hole beside": [("outer", 0, 0, "00 40 48 08 00"), ("inner", 1, 0, "52 72 76 56 52")],
+        "hole across": [("outer", 0, 0, "00 50 58 08 00"), ("inner", 1, 0, "32 72 76 36 32")], "shell in shell": [("outer", 0, 0, "00 80 88 08 00"), ("outer", 1, 1, "22 62 66 26 22")],
+        "torn": [("outer", 0, 0, "00 40 80 88 48 08 00"), ("inner", 1, 0, "40 64 48 24 40")], "open": [("outer", 0, 0, "00 80 88 08")],
+        "shells across": [("outer", 0, 0, "00 60 66 06 00"), ("outer", 1, 1, "33 83 88 38 33")], "hole in hole": [("outer", 0, 0, "00 80 88 08 00"), ("inner", 1, 0, "11 71 77 17 11"), ("inner", 2, 0, "33 53 55 35 33")],
+        "island": [("outer", 0, 0, "00 80 88 08 00"), ("inner", 1, 0, "11 71 77 17 11"), ("outer", 2, 2, "33 53 55 35 33")],
+        "corner to corner": [("outer", 0, 0, "00 40 44 04 00"), ("outer", 1, 1, "44 84 88 48 44")], "leaning hole": [("outer", 0, 0, "00 80 88 08 00"), ("inner", 1, 0, "40 64 48 24 40".replace("48", "46"))],
+    }.items() for role, ring, polygon, path in rings for i, (x, y) in enumerate(path.split())) + """) v"""
+VIEWS["a_shape_name"] = """
+SELECT shape, row_number() OVER (ORDER BY shape) - 1 AS k FROM (SELECT DISTINCT shape FROM a_shape) x"""
+VIEWS["a_shaped"] = """
+SELECT p.p_partkey AS area_id, n.shape, CASE p.p_partkey % 29 WHEN 1 THEN NULL WHEN 2 THEN 'LineString' WHEN 3 THEN 'Polygon' ELSE 'MultiPolygon' END AS geometry, p.p_partkey % 29 = 4 AS no_points,
+       70e0 + (p.p_partkey % 1000) * 5e-2 AS x, CASE p.p_partkey % 29 WHEN 5 THEN 89.995e0 ELSE 5e0 + (CAST(floor(p.p_partkey / 1000) AS BIGINT) % 500) * 5e-2 END AS y,
+       CASE p.p_partkey % 29 WHEN 6 THEN 1e-5 WHEN 7 THEN 8e0 ELSE 0.01e0 + p.p_size * 2e-4 END AS w
+FROM part p JOIN a_shape_name n ON n.k = p.p_partkey % 16"""
+VIEWS["a_shaped_point"] = """
+SELECT a.area_id, s.role, s.ring, s.polygon, s.seq, a.x + a.w * s.x AS x, a.y + a.w * s.y AS y FROM a_shaped a JOIN a_shape s ON s.shape = a.shape WHERE NOT a.no_points"""
+# Families of diamonds around one place, shifted against each other; names repeat over many places.
+VIEWS["a_diamond"] = """
+SELECT p_partkey AS area_id, CAST(floor(p_partkey / 3) AS BIGINT) AS family, concat(CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE '' END, CASE WHEN p_partkey % 5 = 0 THEN 'PLACE ' ELSE 'Place ' END, CAST(CAST(floor(p_partkey / 3) AS BIGINT) % 10 AS VARCHAR(20))) AS name,
+       CASE WHEN CAST(floor(p_partkey / 3) AS BIGINT) % 4 = 0 THEN 'TOWN' ELSE 'VILLAGE' END AS area_type, 0.01e0 + (CAST(floor(p_partkey / 3) AS BIGINT) % 5) * 1e-3 AS r,
+       (p_partkey % 3 % 2) * ((p_partkey * 7) % 13) * 1.013e-3 AS dx, CAST(floor((p_partkey % 3) / 2) AS BIGINT) * ((p_partkey * 5) % 11) * 1.007e-3 AS dy,
+       20e0 + (CAST(floor(p_partkey / 3) AS BIGINT) % 900) * 0.06e0 AS cx, 10e0 + (CAST(floor(p_partkey / 2700) AS BIGINT) % 900) * 0.06e0 AS cy
+FROM part"""
+VIEWS["a_diamond_point"] = """
+SELECT d.area_id, 'outer' AS role, CAST(0 AS BIGINT) AS ring, CAST(0 AS BIGINT) AS polygon, CAST(c.i AS BIGINT) AS seq, d.cx + d.dx + d.r * c.x AS x, d.cy + d.dy + d.r * c.y AS y FROM a_diamond d JOIN (
+SELECT 0 AS i, 1e0 AS x, 0e0 AS y UNION ALL SELECT 1, 0.5e0, 0.5e0 UNION ALL SELECT 2, 0e0, 1e0 UNION ALL SELECT 3, -1e0, 0e0 UNION ALL SELECT 4, 0e0, -1e0 UNION ALL SELECT 5, 1e0, 0e0) c ON c.i >= 0"""
+
+# --- metro network and provider steps: blocks of twenty stations; two services of one line that overlap, and an express with a line of its own
+VIEWS["n_station"] = """
+SELECT concat('S', CAST(1000000 + p_partkey AS VARCHAR(20))) AS station, p_partkey AS k, CAST(floor(p_partkey / 20) AS BIGINT) AS b, p_partkey % 20 AS i,
+       concat('Halt ', CAST(p_partkey % 300 AS VARCHAR(20)), CASE p_partkey % 4 WHEN 0 THEN ' North' WHEN 1 THEN ' (Gate 2)' WHEN 2 THEN ' & Park' ELSE '' END) AS name,
+       20e0 + (p_partkey % 1000) * 9e-3 AS lat, 70e0 + (CAST(floor(p_partkey / 1000) AS BIGINT) % 500) * 5e-2 AS lon
+FROM part"""
+VIEWS["n_step"] = """
+SELECT concat('A', CAST(x.b AS VARCHAR(20))) AS service, concat('G', CAST(x.b AS VARCHAR(20))) AS group_id, x.station AS a, y.station AS b FROM n_station x JOIN n_station y ON y.b = x.b AND y.i = x.i + 1 WHERE x.i < 14
+UNION ALL SELECT concat('B', CAST(x.b AS VARCHAR(20))), concat('G', CAST(x.b AS VARCHAR(20))), y.station, x.station FROM n_station x JOIN n_station y ON y.b = x.b AND y.i = x.i + 1 WHERE x.i >= 8
+UNION ALL SELECT concat('C', CAST(x.b AS VARCHAR(20))), concat('E', CAST(x.b AS VARCHAR(20))), x.station, y.station FROM n_station x JOIN n_station y ON y.b = x.b AND y.i = x.i + 5 WHERE x.i % 5 = 0 AND x.i < 15"""
+VIEWS["n_service"] = """
+SELECT service, group_id, CASE substring(service, 1, 1) WHEN 'C' THEN concat('Express ', substring(service, 2, 9)) ELSE concat('Line ', substring(service, 2, 9)) END AS group_name,
+       CASE substring(service, 1, 1) WHEN 'A' THEN concat('Line ', substring(service, 2, 9), ' (West)') WHEN 'B' THEN concat('Eastern ', substring(service, 2, 9)) ELSE concat('Express ', substring(service, 2, 9)) END AS name
+FROM (SELECT DISTINCT service, group_id FROM n_step) x"""
+VIEWS["n_ride"] = """
+SELECT l.l_orderkey AS route_id, l.pos, l.l_partkey AS salt, CAST(floor(o.o_custkey % (SELECT count(*) FROM part) / 20) AS BIGINT) AS b, (l.l_orderkey * 3 + l.pos * 7) % 20 AS i, (l.l_orderkey * 3 + (l.pos + 1) * 7) % 20 AS j
+FROM a_line l JOIN orders o ON o.o_orderkey = l.l_orderkey"""
+# What a stop is called: as the station, with other words, shortened, wrongly, or not at all; some without a place, some a way off.
+VIEWS["n_said"] = """
+SELECT station, v, CASE v WHEN 0 THEN name WHEN 1 THEN concat(upper(name), ' Metro Station') WHEN 2 THEN concat('Halt ', CAST(k % 300 AS VARCHAR(20))) WHEN 3 THEN 'Somewhere' WHEN 4 THEN concat('Old ', name, ' Side') ELSE '' END AS name,
+       CASE WHEN v IN (1, 4) AND k % 3 = 0 THEN NULL ELSE lat + CASE v WHEN 0 THEN 4e-3 WHEN 3 THEN 5e-4 WHEN 2 THEN 0e0 WHEN 4 THEN 9e-3 ELSE 1e-4 END END AS lat,
+       CASE WHEN v IN (1, 4) AND k % 3 = 0 THEN NULL ELSE lon END AS lon, b, i
+FROM (SELECT s.*, n.j AS v FROM n_station s JOIN a_number n ON n.j < 6) x"""
+VIEWS["n_provider_step"] = """
+SELECT r.route_id, CAST(r.pos * 2 + 1 AS BIGINT) AS seq, 'RIDE' AS kind, 100 * r.salt % 5000 AS meters, r.salt % 900 AS seconds, abs(r.j - r.i) + CASE WHEN r.salt % 11 = 3 THEN 1 WHEN r.salt % 13 = 4 THEN -abs(r.j - r.i) ELSE 0 END AS stop_count,
+       CASE r.salt % 7 WHEN 0 THEN '' WHEN 1 THEN 'Unheard Of' WHEN 2 THEN concat('Express ', CAST(r.b AS VARCHAR(20))) WHEN 3 THEN concat('Metro line ', CAST(r.b AS VARCHAR(20)), ' to the east') ELSE concat('Line ', CAST(r.b AS VARCHAR(20))) END AS line,
+       CASE r.salt % 9 WHEN 0 THEN 'BUS' WHEN 1 THEN 'subway' WHEN 2 THEN 'METRO_RAIL' ELSE 'SUBWAY' END AS vehicle,
+       f.name AS from_name, f.lat AS from_lat, f.lon AS from_lon, t.name AS to_name, t.lat AS to_lat, t.lon AS to_lon
+FROM n_ride r JOIN n_said f ON f.b = r.b AND f.i = r.i AND f.v = CASE WHEN r.salt % 5 < 3 THEN 0 ELSE r.salt % 6 END JOIN n_said t ON t.b = r.b AND t.i = r.j AND t.v = CASE WHEN r.salt % 4 < 3 THEN 0 ELSE r.salt % 6 END
+UNION ALL SELECT route_id, CAST(pos * 2 AS BIGINT), 'WALK', CASE WHEN salt % 6 = 0 THEN 0 ELSE salt % 700 END, CASE WHEN salt % 6 = 0 THEN 0 ELSE salt % 500 END, 0, '', '', '', NULL, NULL, '', NULL, NULL FROM n_ride WHERE salt % 3 = 0
+UNION ALL SELECT route_id, CAST(99 AS BIGINT), 'WALK', salt % 300, salt % 200, 0, '', '', '', NULL, NULL, '', NULL, NULL FROM n_ride WHERE pos = 0 AND salt % 2 = 0"""
+
+# --- shapes of the blocks: three vertices a station; every third block runs back again, some lie a kilometre off, some have too few points
+VIEWS["n_shape"] = """
+SELECT concat('H', CAST(b AS VARCHAR(20))) AS shape_id, CAST(i * 3 + v AS BIGINT) AS seq, lat + v * 3e-3 + CASE WHEN b % 7 = 5 THEN 1e-2 ELSE 1e-4 END AS lat, lon + 2e-4 AS lon, k * 10 + v AS row_pos
+FROM (SELECT s.*, n.j AS v FROM n_station s JOIN a_number n ON n.j < 3) x WHERE b % 11 <> 4 OR i * 3 + v < 1
+UNION ALL SELECT concat('H', CAST(b AS VARCHAR(20))), CAST(62 + (19 - i) * 3 - v AS BIGINT), lat + v * 3e-3 + CASE WHEN b % 7 = 5 THEN 1e-2 ELSE 1e-4 END, lon + 2e-4, 1000000000 + k * 10 + v
+FROM (SELECT s.*, n.j AS v FROM n_station s JOIN a_number n ON n.j < 3) x WHERE b % 3 = 0 AND b % 11 <> 4"""
+VIEWS["n_shape_trip"] = """
+SELECT o_orderkey AS trip_id, concat('A', CAST(CAST(floor(o_custkey % n / 20) + CASE WHEN o_orderkey % 9 = 4 THEN 1 ELSE 0 END AS BIGINT) AS VARCHAR(20))) AS route_id,
+       CASE WHEN o_orderkey % 6 = 1 THEN ' ' ELSE concat('H', CAST(CAST(floor(o_custkey % n / 20) AS BIGINT) AS VARCHAR(20))) END AS shape_id, o_orderpriority AS service_id
+FROM (SELECT *, (SELECT count(*) FROM part) AS n FROM orders) x"""
+VIEWS["n_journey_ride"] = """
+SELECT r.route_id * 100 + r.pos AS ride_id, r.route_id AS journey_id, concat('H', CAST(r.b AS VARCHAR(20))) AS shape_id, f.lat AS board_lat, f.lon AS board_lon, t.lat AS exit_lat, t.lon AS exit_lon
+FROM n_ride r JOIN n_station f ON f.b = r.b AND f.i = r.i JOIN n_station t ON t.b = r.b AND t.i = r.j"""
+# Route lines in parts: some without points, of another kind or reference, out of range, or all at one place.
+VIEWS["n_line"] = """
+SELECT o_orderkey AS route_id, CASE o_orderkey % 13 WHEN 1 THEN NULL WHEN 2 THEN 'Point' WHEN 3 THEN 'LineString' ELSE 'MultiLineString' END AS geometry, CASE o_orderkey % 17 WHEN 1 THEN 3857 WHEN 2 THEN 0 WHEN 3 THEN NULL ELSE 4326 END AS srid
+FROM orders"""
+VIEWS["n_line_point"] = """
+SELECT l_orderkey AS route_id, CAST(floor(pos / 2) AS BIGINT) AS part, pos % 2 AS seq, CASE WHEN l_orderkey % 19 = 5 AND pos = 1 THEN 95e0 WHEN l_orderkey % 23 = 6 THEN 10e0 ELSE 10e0 + CAST(floor((pos + 1) / 2) AS BIGINT) % 3 * 1e-2 END AS lat,
+       CASE WHEN l_orderkey % 29 = 7 AND pos = 0 THEN NULL ELSE 70e0 END AS lon
+FROM a_line WHERE l_orderkey % 31 <> 8"""
+
 _WORD = re.compile(r"\b(" + "|".join(sorted([*BASE, *VIEWS], key=len, reverse=True)) + r")\b(?!\.|_)")
 
 

@@ -4,7 +4,7 @@ import importlib
 
 from wayline import registry
 
-MODULES = ["patterns", "bus_feed", "compare", "journeys", "detect", "scalars", "metro", "areas"]
+MODULES = ["patterns", "bus_feed", "compare", "journeys", "detect", "scalars", "metro", "areas", "rings", "metro_journeys", "shapes"]
 
 
 def _load():
