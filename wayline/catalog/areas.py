@@ -154,3 +154,40 @@ def src1(t):
     path = f"{folder(t.spark)}/feed-{uuid.uuid4().hex}/trips"
     t.raw_trip.select("trip_id", "route_id", "service_id", "trip_headsign").write.mode("overwrite").csv(path, header=True, escape='"', quote='"')
     return gtfs.table(t.spark, path, ["trip_id", "route_id", "service_id"], ["trip_headsign", "block_id"]).drop("row_pos")
+
+
+# ---- import: repeated ids, lookups, regions
+
+PARTS["o_source"] = "SELECT p_partkey AS row_pos, p_size AS external_id, p_brand AS source, p_size * 7 % 40 AS source_id FROM part"
+
+
+@query("ai5_repeated_ids", "SELECT row_pos, external_id, row_pos > min(row_pos) OVER (PARTITION BY external_id) AS duplicate FROM o_source")
+def ai5(t):
+    d = t.part.select(F.col("p_partkey").alias("row_pos"), F.col("p_size").alias("external_id"))
+    return ar.repeated_ids(d, "row_pos")
+
+
+@query("src20_areas_of_source", "SELECT row_pos, source, source_id FROM o_source WHERE source = 'Brand#11' AND source_id IN (SELECT n_nationkey FROM nation)")
+def src20(t):
+    d = t.part.select(F.col("p_partkey").alias("row_pos"), F.col("p_brand").alias("source"), (F.col("p_size") * 7 % 40).cast("bigint").alias("source_id"))
+    return ar.find_area(d, "Brand#11", t.nation.select(F.col("n_nationkey").cast("bigint").alias("source_id"))).select("row_pos", "source", "source_id")
+
+
+PARTS["o_region"] = """
+SELECT p_partkey AS request_id, p_partkey % 8 AS kind, 10 + p_partkey % 50 AS s, p_partkey % 90 AS w FROM part"""
+PARTS["o_region_text"] = """
+SELECT *, CASE kind WHEN 0 THEN '' WHEN 1 THEN concat(s, ',', w, ',', s + 1) WHEN 2 THEN concat(s, ',', w, ',north,', w + 1) WHEN 3 THEN concat(s, ',', w, ',', s + 90, ',', w + 1) WHEN 4 THEN concat(s, ',', w, ',', s, ',', w + 1)
+ WHEN 5 THEN concat(s, ',', w, ',', s + 1, ',', w + 9) ELSE concat(' ', s, ' , ', w, ',', s + 1, ',', w + 2) END AS text FROM o_region"""
+
+
+@query("ai6_regions", """SELECT request_id, CASE kind WHEN 0 THEN 'MISSING' WHEN 1 THEN 'NOT_FOUR_NUMBERS' WHEN 2 THEN 'NOT_A_NUMBER' WHEN 3 THEN 'OUT_OF_RANGE' WHEN 4 THEN 'EMPTY' WHEN 5 THEN 'TOO_WIDE' END AS problem,
+ CASE WHEN kind > 5 THEN CAST(s AS DOUBLE) END AS south, CASE WHEN kind > 5 THEN CAST(w + 2 AS DOUBLE) END AS east FROM o_region_text""")
+def ai6(t):
+    s, w = 10 + F.col("p_partkey") % 50, F.col("p_partkey") % 90
+    text = lambda *x: F.concat(*[y.cast("string") if hasattr(y, "cast") else F.lit(y) for y in x])
+    kinds = [F.lit(""), text(s, ",", w, ",", s + 1), text(s, ",", w, ",north,", w + 1), text(s, ",", w, ",", s + 90, ",", w + 1), text(s, ",", w, ",", s, ",", w + 1), text(s, ",", w, ",", s + 1, ",", w + 9),
+             text(" ", s, " , ", w, ",", s + 1, ",", w + 2)]
+    said = F.element_at(F.array(*kinds), F.least(F.col("p_partkey") % 8, F.lit(6)).cast("int") + 1)
+    d = t.part.select(F.col("p_partkey").alias("request_id"), ar.region(said, 5.0).alias("r"))
+    ok = lambda c: F.when(F.col("r.problem").isNull(), F.col(f"r.{c}")).alias(c)
+    return d.select("request_id", "r.problem", ok("south"), ok("east"))

@@ -66,3 +66,31 @@ def _past_every_end(links: DataFrame) -> int:
 def in_parent_cycle(links: DataFrame) -> DataFrame:
     """Areas that are their own ancestor: whatever is left after more steps than there are links is on a loop."""
     return ancestor(links, _past_every_end(links)).select(F.col("parent").alias("area_id")).distinct()
+
+
+def repeated_ids(areas: DataFrame, order: str) -> DataFrame:
+    """``areas`` with ``duplicate``: an id of the source counts where it comes first by ``order``, later rows are duplicates."""
+    first = areas.groupBy("external_id").agg(F.min(order).alias("_first"))
+    return areas.join(first, "external_id").withColumn("duplicate", F.col(order) > F.col("_first")).drop("_first")
+
+
+def find_area(areas: DataFrame, source: str, source_ids: DataFrame) -> DataFrame:
+    """Areas of a source by the ids that it gives them."""
+    return areas.filter(F.col("source") == source).join(source_ids.select("source_id").distinct(), "source_id", "left_semi")
+
+
+def region(text: Column, widest: float) -> Column:
+    """A box ``south,west,north,east`` in degrees read from a text, or the ``problem`` that it has: not four numbers, out of range, empty, or wider than
+    ``widest``."""
+    parts = F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("double"))
+    south, west, north, east = (F.get(parts, F.lit(k)) for k in range(4))
+    number = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))
+    problem = reasons((F.coalesce(F.trim(text), F.lit("")) == "", "MISSING"), (F.size(parts) != 4, "NOT_FOUR_NUMBERS"), (~(number(south) & number(west) & number(north) & number(east)), "NOT_A_NUMBER"),
+                      ((south < -90) | (north > 90) | (west < -180) | (east > 180), "OUT_OF_RANGE"), ((south >= north) | (west >= east), "EMPTY"), (F.greatest(north - south, east - west) > widest, "TOO_WIDE"))
+    return F.struct(south.alias("south"), west.alias("west"), north.alias("north"), east.alias("east"), problem.alias("problem"))
+
+
+def in_region(boxes: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Elements whose envelope (``x0``, ``y0``, ``x1``, ``y1``) meets the box."""
+    south, west, north, east = box
+    return boxes.filter((F.col("y1") >= south) & (F.col("y0") <= north) & (F.col("x1") >= west) & (F.col("x0") <= east))
