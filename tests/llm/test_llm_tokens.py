@@ -92,6 +92,12 @@ def test_packing_rows(spark, library):
     assert packing.pack(packing.pieces(rows(spark, []), PATH, 2, 64), 64).collect() == []
 
 
+def test_ids_stay_whole_beside_null_ones(spark, library):
+    values = [(None, "no id"), ((1 << 53) + 1, "a big id"), ((1 << 53) + 3, "another"), (None, "x " * 200)]
+    got = packing.pack(packing.pieces(rows(spark, values).coalesce(1), PATH, 2, 64), 64).collect()
+    check_packed(got, values, library, 64)
+
+
 def test_pieces_carry_their_ids(spark, library):
     got = packing.pieces(rows(spark, [(1, "a b c d e f g")]), PATH, 2, 3, with_ids=True).orderBy("piece").collect()
     assert [x for r in got for x in r.ids] == [*library.encode("a b c d e f g").ids, 2] and [len(r.ids) for r in got] == [2, 3, 3]

@@ -7,7 +7,7 @@ counts allow, and what finds none is placed by best fit in descending order. The
 number depends on the lengths and not on the documents, so it may travel with the tasks. Pieces then get their rank within their length
 (counts per length and hash bucket, a running sum over buckets, a row number inside one bucket), which names the sequence and the place.
 
-A null text counts as empty: one piece with the end token. Rows that repeat an id are packed like any others.
+A null text counts as empty: one piece with the end token. Rows that repeat an id are packed like any others, and null ids stay null.
 """
 
 import os
@@ -16,7 +16,6 @@ from array import array
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from wayline.llm.byte_bpe import Kept
@@ -72,21 +71,26 @@ def pieces(docs: DataFrame, path: str, end_id: int, size: int, with_ids: bool =
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
+        import pyarrow as pa
+
         e = encoder(path)
         for b in batches:
-            rows = []
-            texts = b["text"].fillna("").tolist()
-            for at in range(0, len(texts), 512):
-                for doc, ids in zip(b["doc_id"].iloc[at:at + 512], e.encode(texts[at:at + 512])):
+            for at in range(0, b.num_rows, 512):
+                part, rows = b.slice(at, 512), []
+                for row, ids in enumerate(e.encode([t or "" for t in part.column("text").to_pylist()])):
                     ids += end
                     n = len(ids) // 4
                     cuts = [0, *range(n % size or min(size, n), n + 1, size)]
                     for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-                        part = ids[4 * lo:4 * hi]
-                        rows.append((doc, k, lo, hi - lo, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype("int32")] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+                        own = ids[4 * lo:4 * hi]
+                        rows.append((row, k, lo, hi - lo, zlib.crc32(own), np.frombuffer(own, "<u4").astype("int32") if with_ids else None))
+                row, *cols = zip(*rows)
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
+                # Ids are taken as they are: a null among them must not turn the others into fractions.
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), *(pa.array(c, t) for c, t in zip(cols, kinds))],
+                                                 names=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    return docs.select("doc_id", "text").mapInPandas(tidy(run), PIECES + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def _fill(have: np.ndarray, gap: int, own: int) -> tuple[int, ...] | None:
@@ -185,15 +189,18 @@ def pack(parts: DataFrame, size: int) -> DataFrame:
               .withColumn("_rank", F.col("_in") + F.col("_before") - 1).select(*[c for c in parts.columns if c not in ("_row", "_bucket")], "_rank"))
 
     def run(batches):
+        import pyarrow as pa
+
         for b in batches:
-            seq, off = np.zeros(len(b), "int64"), np.zeros(len(b), "int64")
-            lengths, ranks = b["length"].to_numpy(), b["_rank"].to_numpy()
+            seq, off = np.zeros(b.num_rows, "int64"), np.zeros(b.num_rows, "int64")
+            lengths, ranks = b.column("length").to_numpy(), b.column("_rank").to_numpy()
             for x in np.unique(lengths):
                 first, base, at = where[int(x)]
                 mine = np.flatnonzero(lengths == x)
                 k = np.searchsorted(first, ranks[mine], "right") - 1
                 seq[mine], off[mine] = base[k] + ranks[mine] - first[k], at[k]
-            yield b.drop(columns="_rank").assign(sequence_id=seq, offset=off)
+            kept = {c: b.column(c) for c in b.schema.names if c != "_rank"}
+            yield pa.RecordBatch.from_pydict(kept | {"sequence_id": pa.array(seq), "offset": pa.array(off)})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInPandas(tidy(run), f"{schema}, sequence_id bigint, `offset` bigint")
+    return ranked.mapInArrow(tidy(run), f"{schema}, sequence_id bigint, `offset` bigint")
