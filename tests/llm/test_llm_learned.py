@@ -33,6 +33,14 @@ def test_best_path_is_the_best(seed):
         end += n
 
 
+def test_two_hundred_languages():
+    truth = np.array([199] * 5 + [128] * 4 + [0] * 3 + [150])
+    score = np.full((len(truth), 200), -5.0, "float32")
+    score[np.arange(len(truth)), truth] = 5.0
+    got = language_id.best_paths(np.arange(len(truth)), np.array([12, 0, 1]), score, 2.0)
+    assert got.tolist() == truth.tolist() and np.bincount(got).tolist() == np.bincount(truth).tolist()
+
+
 def test_languages_held_out(spark):
     docs = catalog.table(spark, FOLDER, "documents")
     got = catalog.queries()["op10_language_id"](spark, FOLDER).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()

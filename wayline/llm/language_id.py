@@ -190,14 +190,14 @@ class Scored(dict):
 
 def best_paths(rows: np.ndarray, lengths: np.ndarray, score: np.ndarray, switch: float) -> np.ndarray:
     """Labels of all words; ``rows`` holds the texts one after another, ``score`` the score rows they point to."""
-    labels = np.zeros(len(rows), "int8")
+    labels = np.zeros(len(rows), "int32")
     order = np.argsort(-lengths, kind="stable")
     starts = (np.cumsum(lengths) - lengths)[order]
     long = lengths[order]
     most = int(long[0]) if len(long) else 0
     active = np.searchsorted(-long, -np.arange(most), "left")  # texts with more than t words
     stay = np.zeros((len(rows), score.shape[1]), bool)
-    came = np.zeros(len(rows), "int8")
+    came = np.zeros(len(rows), "int32")
     now = np.zeros((len(order), score.shape[1]), "float32")
     for t in range(most):
         n = active[t]
@@ -210,7 +210,7 @@ def best_paths(rows: np.ndarray, lengths: np.ndarray, score: np.ndarray, switch:
             stay[at], came[at] = keep, top
             now[:n] = np.where(keep, v, jump[:, None])
         now[:n] += score[rows[at]]
-    last = now.argmax(1).astype("int8")
+    last = now.argmax(1).astype("int32")
     for t in range(most - 1, -1, -1):
         n = active[t]
         at = starts[:n] + t
