@@ -110,7 +110,7 @@ WEIGHTS = {"domain": {"d0": 40, "d1": 20, "d2": 20, "d3": 20}, "lang": {"en": 40
 
 @query("op7_mix_sources")
 def op7(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents"), 0.6, 2, WEIGHTS, 17).drop("text_key")
+    return mixing.mix(table(spark, sf_dir, "documents"), 0.6, 2, WEIGHTS, 17).drop("text_key", "row")
 
 
 @query("op8_license_scan")

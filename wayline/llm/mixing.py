@@ -9,8 +9,9 @@ The prefix of a leaf is found by buckets of its order: token sums per bucket, a
 only inside the one bucket in which the budget ends; a leaf with a third of all rows is spread over ``BUCKETS`` times as many groups.
 
 Weights are relative whole numbers; a child that is not listed has the weight ``OTHER``. Null texts hold no token, null languages and sources are
-children of their own (``other``). Rows without tokens cost nothing and follow their place in the order. Rows that repeat an id are rows
-of their own.
+children of their own (``other``). Rows without tokens cost nothing and follow their place in the order. The order is a hash of the seed, the id and the
+text; rows that repeat both, however many, are rows of their own, which the number of the row keeps apart, so they too are spread over buckets and each
+has its own number of copies.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -64,17 +65,21 @@ def source_group(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("d"), F.pmod(F.regexp_extract(source, r"(\d+)$", 1).try_cast("int"), F.lit(4)).cast("string")), F.lit("other"))
 
 
-def mix(docs: DataFrame, share: float, epochs: int, weights: dict[str, dict[str, int]], seed: int, domain: Column | None = None, tokens: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """Per row: ``doc_id``, its leaf, ``n_tokens`` and ``copies``; the budget is ``share`` of all tokens. ``text_key`` tells repeated ids apart."""
+def mix(docs: DataFrame, share: float, epochs: int, weights: dict[str, dict[str, int]], seed: int, domain: Column | None = None, tokens: Column | None = None, buckets: int = BUCKETS, row: Column | None = None) -> DataFrame:
+    """Per row: ``doc_id``, its leaf, ``n_tokens`` and ``copies``; the budget is ``share`` of all tokens. ``text_key`` tells repeated ids apart, ``row`` (a number
+    unlike in all rows, made here if none is given) rows that repeat both."""
     rows = docs.select("doc_id", (source_group() if domain is None else domain).alias("domain"), F.coalesce("lang", F.lit("other")).alias("lang"), F.coalesce("source", F.lit("other")).alias("source"),
-                       (word_count() if tokens is None else tokens).alias("n_tokens"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+                       (word_count() if tokens is None else tokens).alias("n_tokens"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), (F.monotonically_increasing_id() if row is None else row).alias("row"))
     rows = stage(rows)
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
     total = int((leaves.agg(F.sum("tokens")).first()[0] or 0) * share)
     given = stage(budgets(leaves, total, epochs, weights).withColumn("full", F.when(F.col("tokens") > 0, F.least(F.lit(epochs), F.floor(F.col("given") / F.col("tokens")))).otherwise(0).cast("bigint"))
                   .withColumn("rest", F.col("given") - F.col("full") * F.col("tokens")).select(*LEAF, "full", "rest"))
     # A leaf that has had every epoch takes no part of a further one.
-    rows = rows.join(given, LEAF).withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), "full", "doc_id")))
+    same = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.struct("doc_id").alias("_id"), "text_key", F.lit(True).alias("_same"))
+    rows = rows.join(given, LEAF).withColumn("_id", F.struct("doc_id")).join(same, ["_id", "text_key"], "left")  # a key that equals itself where the id is null
+    own = F.when(F.col("_same"), F.col("row")).otherwise(F.lit(-1))
+    rows = rows.withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), "full", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_key", own)))
     rows = rows.withColumn("bucket", (F.conv(F.substring("order", 1, 8), 16, 10).cast("bigint") * buckets / F.lit(1 << 32)).cast("int"))
     sums = rows.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("sum"))
     before = F.coalesce(F.sum("sum").over(W.partitionBy(*LEAF).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -83,15 +88,17 @@ def mix(docs: DataFrame, share: float, epochs: int, weights: dict[str, dict[str,
     more = F.col("full") < epochs
     easy = rows.filter(whole | ~cut).withColumn("more", whole)
     last = rows.filter(~whole & cut).withColumn("more", F.col("before") + F.sum("n_tokens").over(
-        W.partitionBy(*LEAF, "bucket").orderBy("order", "doc_id", "text_key").rowsBetween(W.unboundedPreceding, 0)) <= F.col("rest"))
-    return easy.unionByName(last).select("doc_id", "text_key", *LEAF, "n_tokens", (F.col("full") + F.when(F.col("more") & more, 1).otherwise(0)).cast("bigint").alias("copies"))
+        W.partitionBy(*LEAF, "bucket").orderBy("order", "doc_id", "text_key", "row").rowsBetween(W.unboundedPreceding, 0)) <= F.col("rest"))
+    return easy.unionByName(last).select("doc_id", "text_key", "row", *LEAF, "n_tokens", (F.col("full") + F.when(F.col("more") & more, 1).otherwise(0)).cast("bigint").alias("copies"))
 
 
 def mixed(docs: DataFrame, *args, **kwargs) -> DataFrame:
     """The rows of ``docs``, each as often as it was selected, with the columns of ``docs``."""
-    picked = mix(docs, *args, **kwargs).groupBy("doc_id", "text_key").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    cols = [f"_c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, cols)], "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    picked = picked.withColumn("_id", F.struct("doc_id")).drop("doc_id")  # a key that equals itself where the id is null
-    rows = rows.withColumn("_id", F.struct("doc_id")).join(picked, ["_id", "text_key"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-    return rows.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, cols)])
+    name = "row_number"
+    while name in docs.columns:
+        name += "_"
+    rows = stage(docs.withColumn(name, F.monotonically_increasing_id()))
+    picked = mix(rows, *args, row=F.col(name), **kwargs).filter("copies > 0").select(F.col("row").alias("_picked"), "copies")
+    own = rows.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_own"), F.col(name).alias("_picked"))
+    many = own.join(picked, "_picked").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return many.select(*[F.col(f"_own.c{i}").alias(c) for i, c in enumerate(docs.columns)])
