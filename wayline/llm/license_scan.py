@@ -3,19 +3,18 @@
 A text is brought to one spelling (case, punctuation, white space, copyright lines and equivalent spellings do not count) and its digest is
 joined with the digests of known licence texts. The whole document and each of its lines are texts of their own, so both a file that is
 a licence and a notice inside other prose are found; a text matches only as a whole. Runs of consecutive lines are texts too, however they are
-wrapped: a run that starts with a line, ends with a line and has as many words as a known text is digested. Only digests are compared, the known ones are a table of the
-caller's fixed list, and each document is read whole and never shuffled. Null and empty texts match nothing. Rows that repeat an id
+wrapped: a run that starts with a line and with the first words of a known text, ends with a line and has as many words as that text is digested, and its digest
+goes into the same join. Only digests decide, the known ones are a table of the caller's fixed list, and each document is read whole and never shuffled.
+The work of a text follows its lines; only lines with the opening of a known text cost more. Null and empty texts match nothing. Rows that repeat an id
 are reported together.
 """
 
 import hashlib
-from collections import defaultdict
 
-import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wayline.llm.license_texts import DIGESTS, TEXTS
+from wayline.llm.license_texts import DIGESTS, OPENINGS, TEXTS
 from wayline.llm.words import tidy
 
 # Notices and the licence they stand for.
@@ -35,8 +34,8 @@ SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "
              ("favour", "favor"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("per cent", "percent"), ("whilst", "while")]
 _NOT_WORD = regex.compile(r"[^\p{L}\p{N}]+")
 # In a wrapped text a line may start with the word, so a year, a sign or a blank to fill in has to follow it.
-_HOLDER = regex.compile(r"^[^\p{L}\p{N}(©]*(?:copyright\s*(?:\(c\)|©|\d{4}|<|\[)|\(c\)\s|©)")
-COPYRIGHT = r"(?i)^\W*(?:copyright|\(c\)|©)\W"
+COPYRIGHT = r"(?i)^[^\p{L}\p{N}(©]*(?:copyright\s*(?:\(c\)|©|\d{4}|<|\[)|\(c\)\s|©)"
+_HOLDER = regex.compile(COPYRIGHT)
 
 
 def words_of(line: Column) -> Column:
@@ -92,44 +91,57 @@ def digest(words: list[str]) -> str:
     return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def known_runs(known=KNOWN, texts=TEXTS, digests=DIGESTS) -> dict[int, dict[str, tuple[str, int]]]:
-    """By number of words and digest: the licence and the fewest lines a run has (single lines of notices are found by the join)."""
-    out: dict[int, dict[str, tuple[str, int]]] = defaultdict(dict)
+#: Words by which a run is first recognised.
+OPENING = 3
+
+
+def known_runs(known=KNOWN, texts=TEXTS, digests=DIGESTS, openings=OPENINGS) -> list[tuple[str, str, int, str, int]]:
+    """Licence, digest, number of words, first words, and the fewest lines a run of it has (single lines of notices are found by the join of lines)."""
+    out = {}
     for least, table in ((1, texts), (2, known)):
         for name, text in table:
             words, _ = canonical(text)
             if words:
-                out[len(words)][digest(words)] = name, least
-    for name, n, value in digests:
-        out[n][value] = name, 1
-    return dict(out)
+                out[digest(words)] = name, digest(words), len(words), " ".join(words[:OPENING]), least
+    return [*out.values(), *((name, value, n, openings[name], 1) for name, n, value in digests)]
 
 
-def runs(docs: DataFrame, known: dict[int, dict[str, tuple[str, int]]]) -> DataFrame:
-    """``doc_id``, ``license`` and ``whole`` of each run of lines that is a known text."""
+def runs(docs: DataFrame, known: list[tuple[str, str, int, str, int]]) -> DataFrame:
+    """``doc_id``, ``digest``, ``whole`` and ``n`` (lines) of each run of lines that begins like a known text and is as long."""
+    sizes: dict[str, set[int]] = {}
+    for _, _, n, opening, _ in known:
+        sizes.setdefault(opening, set()).add(n)
+    heads = sorted({len(x.split()) for x in sizes})
 
     def run(batches):
+        import pyarrow as pa
+
         for b in batches:
-            out = []
-            for d, text in zip(b["doc_id"], b["text"]):
+            row, found = [], []
+            for r, text in enumerate(b.column("text").to_pylist()):
                 words, starts = canonical(text)
-                line = {x: k for k, x in enumerate([*starts, len(words)])}
+                line = None
                 for k, at in enumerate(starts):
-                    for n, table in known.items():
-                        end = line.get(at + n)
-                        if end is not None:
-                            name, least = table.get(digest(words[at:at + n]), (None, 0))
-                            whole = k == 0 and end == len(starts)
-                            if name is not None and end - k >= least:
-                                if whole:
-                                    out.append((d, name, True))
-                                if not whole or end - k == 1:
-                                    out.append((d, name, False))
-            yield pd.DataFrame(out, columns=["doc_id", "license", "whole"])
-
-    # An id as text stays exact beside a null id.
-    return (docs.filter("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(tidy(run), "doc_id string, license string, whole boolean")
-            .withColumn("doc_id", F.col("doc_id").cast("bigint")))
+                    for head in heads:
+                        for n in sizes.get(" ".join(words[at:at + head]), ()):
+                            line = line or {x: k for k, x in enumerate([*starts, len(words)])}
+                            end = line.get(at + n)
+                            if end is not None:
+                                row.append(r)
+                                found.append((digest(words[at:at + n]), k == 0 and end == len(starts), end - k))
+            cols = list(zip(*found)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.int32())))], names=["doc_id", "digest", "whole", "n"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.filter("text is not null").select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, digest string, whole boolean, n int")
+
+
+def run_licenses(docs: DataFrame, known: list[tuple[str, str, int, str, int]]) -> DataFrame:
+    """The runs whose digest is a known one: ``doc_id``, ``license``, ``whole``. A whole text of a single line is also a line."""
+    table = docs.sparkSession.createDataFrame([(name, value, least) for name, value, _, _, least in known], "license string, digest string, least int")
+    d = runs(docs, known).join(F.broadcast(table), "digest").filter("n >= least")  # as many rows as the fixed list
+    kinds = F.when(~F.col("whole"), F.array(F.lit(False))).when(F.col("n") == 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    return d.select("doc_id", "license", F.explode(kinds).alias("whole"))
 
 
 def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
@@ -143,5 +155,5 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     short = F.transform(F.filter("lines", lambda x: (x != "") & (F.length(x) <= longest)), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("c")))
     parts = lines.select("doc_id", F.explode(F.concat(whole, short)).alias("p")).select("doc_id", "p.whole", spelled(F.col("p.c")).alias("c")).filter("c <> ''")
     found = parts.select("doc_id", "whole", F.sha2("c", 256).alias("digest")).join(F.broadcast(digests.select("license", "digest")), "digest")  # as many rows as the fixed list
-    found = found.select("doc_id", "license", "whole").unionByName(runs(docs, known_runs(known)))
+    found = found.select("doc_id", "license", "whole").unionByName(run_licenses(docs, known_runs(known)))
     return found.groupBy("doc_id", "license").agg(F.sum((~F.col("whole")).cast("bigint")).alias("n_lines"), F.max("whole").alias("whole_text"))

@@ -71,3 +71,7 @@ DIGESTS = [
     ("MPL-1.1", 3760, "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
     ("MPL-2.0", 2414, "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
 ]
+#: The first canonical words of those texts.
+OPENINGS = {"Apache-2.0": "apache license version", "Artistic-1.0": "the artistic license", "BSD-3-Clause": "all rights reserved", "CC0-1.0": "creative commons legal",
+            "GFDL-1.2": "gnu free documentation", "GFDL-1.3": "gnu free documentation", "GPL-1.0": "gnu general public", "GPL-2.0": "gnu general public", "GPL-3.0": "gnu general public",
+            "LGPL-2.0": "gnu library general", "LGPL-2.1": "gnu lesser general", "LGPL-3.0": "gnu lesser general", "MPL-1.1": "mozilla public license", "MPL-2.0": "mozilla public license"}
