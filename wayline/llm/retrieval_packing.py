@@ -1,8 +1,8 @@
 """Packing by lexical retrieval: a window is filled with a seed document and what an inverted index finds nearest to it.
 
 Terms are the token ids of a document, so the table of document frequencies has at most the vocabulary's size; frequencies, the number of
-documents and their mean length are counted over all documents. A document's topic is its two terms of greatest BM25 weight, and documents
-are sorted by topic over all tasks (a topic of any size is spread by a hash), so neighbours lie close together. A task takes its
+documents and their mean length are counted over all documents. A document's topic is its two rarest terms, and documents are sorted by topic
+over all tasks (a topic of any size is spread by a hash), so neighbours lie close together. A task takes its
 documents in shards of about ``SHARD`` tokens and builds the inverted index of a shard: per term, the documents that hold it and their
 weights.
 
@@ -16,40 +16,146 @@ A null text counts as empty: one piece with the end token. Rows that repeat an i
 """
 
 import os
+import re
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from wayline.llm.words import KEPT, tidy
+from wayline.llm.byte_bpe import byte_letters
+from wayline.llm.words import KEPT, span_hashes, tidy
 from wayline.operators.stage import stage
 
 K1, B = 1.2, 0.75
+#: Characters cut by bytes at once.
+STRETCH = 1 << 20
 #: Tokens of a shard, whose index a task holds at once.
-SHARD = 1 << 18
+SHARD = 1 << 17
+
+
+# How this family of vocabularies cuts lower-case text, for characters that composition and folding leave alone.
+_PLAIN = re.compile(r"[\x00-\x7f\u00c0-\u012f\u0131-\u0148\u014a-\u017e]*")
+_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+|[0-9]|[^\t-\r a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e]+")
+
+
+#: The same cut by bytes, for texts without apostrophes and signs beyond ASCII: white space, letters, single digits, runs of other signs.
+_CLASS = np.full(256, 3, "uint8")
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[[*range(97, 123), *range(128, 256)]] = 1
+_CLASS[48:58] = 2
+_SIGNS = re.compile("['×÷]")
 
 
 class Words(dict):
-    """Token ids of whole texts, little-endian in two or four bytes, from the results of stretches between spaces, which are kept.
+    """Token ids of whole texts, little-endian in two or four bytes, from the results of their parts, which are kept.
 
-    For vocabularies that drop white space: no token, rule or special string spans a space, so a stretch gives the same ids wherever it stands.
+    For vocabularies that fold case and drop white space: no token, rule or special string spans a space, so a stretch between spaces gives the same
+    ids wherever it stands. Texts of plain letters are cut as the vocabulary's pattern does, and what is new among their parts goes to the library's
+    merges in one call; any other stretch goes to the library as it is.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        letter = {b: c for c, b in byte_letters().items()}
+        self.letters = {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x180)}
+        self.odd: dict[str, bytes] = {}
+        self.by_hash: dict[int, bytes] = {}
+
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        text = " ".join(parts)
+        if not (text.isascii() and text.isprintable()):
+            text = " ".join(x.translate(self.letters) for x in parts)
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(parts):
+            raise ValueError("the vocabulary does not mark the ends of words")
+        data, cuts = ids.tobytes(), (cuts * self.kind.itemsize).tolist()
+        return [data[lo:hi] for lo, hi in zip([0, *cuts], cuts)]
+
+    def _learn(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 2000):
+            some = parts[at:at + 2000]
+            self.update(zip(some, self._merged(some)))
+
+    def _plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not ("<" in text and any(s in text for s in self.specials))
+
+    def _stretch(self, x: str) -> bytes:
+        if x not in self.odd:
+            if len(self.odd) > KEPT:
+                self.odd.clear()
+            self.odd[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, self.kind).tobytes()
+        return self.odd[x]
+
+    def _simple(self, texts: list[str]) -> list[bytes]:
+        """Texts that bytes can be cut for: different parts are looked up once for all of them."""
+        data = [t.lower().encode() for t in texts]
+        joined = b" ".join(data)
+        a = np.frombuffer(joined, "uint8")
+        c = np.zeros(len(a) + 2, "uint8")
+        np.take(_CLASS, a, out=c[1:-1])
+        edge = (c[1:] != c[:-1]) | (c[1:] == 2) & (c[:-1] == 2)
+        start, end = np.flatnonzero(edge[:-1] & (c[1:-1] != 0)), np.flatnonzero(edge[1:] & (c[1:-1] != 0)) + 1
+        if not len(start):
+            return [b""] * len(texts)
+        which, known = pd.factorize(span_hashes(a, start, end))
+        at = np.zeros(len(known), "int64")
+        at[which] = np.arange(len(which))
+        known = known.tolist()
+        if len(self.by_hash) > KEPT:
+            self.by_hash.clear()
+        new = [(h, k) for h, k in zip(known, at.tolist()) if h not in self.by_hash]
+        for lo in range(0, len(new), 2000):
+            some = new[lo:lo + 2000]
+            self.by_hash.update(zip([h for h, _ in some], self._merged([joined[start[k]:end[k]].decode() for _, k in some])))
+        found = [self.by_hash[h] for h in known]
+        size = np.array([len(x) for x in found], "int32") // self.kind.itemsize
+        flat = np.frombuffer(b"".join(found), self.kind)
+        n = size[which]
+        done = np.zeros(len(n) + 1, "int32")
+        np.cumsum(n, out=done[1:])
+        ids = flat[np.repeat((np.cumsum(size, dtype="int32") - size)[which] - done[:-1], n) + np.arange(done[-1], dtype="int32")]
+        cuts = done[np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in data)]))].tolist()
+        return [ids[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
+        """Ids of whole texts. At most ``STRETCH`` characters are cut by bytes at once, so a long text costs no more memory than many short ones."""
+        simple = [len(t) <= STRETCH and self._plain(t) and not _SIGNS.search(t) for t in texts]
+        out: dict[int, bytes] = {}
+        held, size = [], 0
+        for k in [k for k, s in enumerate(simple) if s]:
+            held.append(k)
+            size += len(texts[k])
+            if size >= STRETCH:
+                out.update(zip(held, self._simple([texts[i] for i in held])))
+                held, size = [], 0
+        if held:
+            out.update(zip(held, self._simple([texts[i] for i in held])))
+        rest = [k for k, s in enumerate(simple) if not s]
+        out.update(zip(rest, self._cut([texts[k] for k in rest])))
+        return [out[k] for k in range(len(texts))]
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        cut = []  # parts of a text, or of its plain stretches, between the others
+        for t in texts:
+            if self._plain(t):
+                cut.append([_CUT.findall(t.lower())])
+            else:
+                cut.append([_CUT.findall(x.lower()) if self._plain(x) else x for x in t.split(" ")])
         if len(self) > KEPT:
             self.clear()
-        new = [x for x in set().union(*split) if x not in self]
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[x] = np.array(e.ids, self.kind).tobytes()
+        self._learn(list(set().union(*(x for c in cut for x in c if type(x) is list)) - self.keys()))
         get = self.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        return [b"".join([b"".join(map(get, x)) if type(x) is list else self._stretch(x) for x in c]) for c in cut]
 
 
 _words: dict[str, Words] = {}
@@ -62,8 +168,20 @@ def words(path: str) -> Words:
     return _words[path]
 
 
+def topic(ids: np.ndarray) -> tuple[int, int]:
+    """The two rarest terms of a document, of those it uses more than once if there are any; -1 where there is none. Entries of a vocabulary come in
+    the order of their frequency, so a later one is rarer."""
+    x = np.sort(ids)
+    twice = x[1:][x[1:] == x[:-1]]
+    x = twice if len(twice) else x
+    if not len(x):
+        return -1, -1
+    less = x[:np.searchsorted(x, x[-1])]
+    return int(x[-1]), int(less[-1]) if len(less) else -1
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``doc_id``, ``row`` (unlike in all rows), ``doc_tokens`` and ``ids``, which end with ``end_id``; staged."""
+    """``doc_id``, ``row`` (unlike in all rows), ``doc_tokens``, ``ids``, which end with ``end_id``, and the document's topic; staged."""
 
     def run(batches):
         import pyarrow as pa
@@ -73,13 +191,14 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                ids = [x + end for x in w.encode([t or "" for t in part.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "row": part.column("row"), "ids": pa.array(ids, pa.binary()),
-                                                  "doc_tokens": pa.array([len(x) // w.kind.itemsize for x in ids], pa.int64())})
+                ids = w.encode([t or "" for t in part.column("text").to_pylist()])
+                topics = np.array([topic(np.frombuffer(x, w.kind)) for x in ids], "int32").reshape(-1, 2)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "row": part.column("row"), "ids": pa.array([x + end for x in ids], pa.binary()),
+                                                  "doc_tokens": pa.array([len(x) // w.kind.itemsize + 1 for x in ids], pa.int64()), "topic": pa.array(topics[:, 0]), "second": pa.array(topics[:, 1])})
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stage(rows.mapInArrow(tidy(run), f"doc_id {kind}, row bigint, ids binary, doc_tokens bigint"))
+    return stage(rows.mapInArrow(tidy(run), f"doc_id {kind}, row bigint, ids binary, doc_tokens bigint, topic int, second int"))
 
 
 class Bm25:
@@ -105,7 +224,7 @@ def counted(rows: DataFrame, kind: str, vocabulary: int) -> Bm25:
         n = np.zeros(vocabulary, "int64")
         for b in batches:
             for ids in b.column("ids").to_pylist():
-                n[np.unique(np.frombuffer(ids, kind)[:-1])] += 1
+                n[np.frombuffer(ids, kind)[:-1]] += 1  # once for a term, however often it stands there
         there = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"term": pa.array(there, pa.int32()), "n": pa.array(n[there], pa.int64())})
 
@@ -116,25 +235,6 @@ def counted(rows: DataFrame, kind: str, vocabulary: int) -> Bm25:
     return Bm25(total["n"], (total["t"] or 0) - total["n"], frequency)
 
 
-def with_topic(rows: DataFrame, kind: str, bm25: Bm25) -> DataFrame:
-    """The two terms of greatest weight; -1 where there is none."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            first, second = [], []
-            for ids in b.column("ids").to_pylist():
-                terms, w = bm25.weights(np.frombuffer(ids, kind)[:-1])
-                best = terms[np.lexsort((terms, -w))[:2]].tolist() + [-1, -1]
-                first.append(best[0])
-                second.append(best[1])
-            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in b.schema.names} | {"topic": pa.array(first, pa.int32()), "second": pa.array(second, pa.int32())})
-
-    kind_of_id = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "row", "ids").mapInArrow(tidy(run), f"doc_id {kind_of_id}, row bigint, ids binary, topic int, second int")
-
-
 class Shard:
     """The inverted index of some documents: postings per term, a document's score for a seed as the sum of its weights of the seed's terms."""
 
@@ -283,8 +383,7 @@ def pack(rows: DataFrame, kind: str, bm25: Bm25, size: int, shard: int = SHARD)
             yield pieces(windows.rest())
 
     order = ["topic", "second", "tie", "row"]
-    topics = with_topic(rows, kind, bm25).withColumn("tie", F.xxhash64("row"))
-    dealt = topics.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    dealt = rows.withColumn("tie", F.xxhash64("row")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
     return dealt.mapInArrow(tidy(run), f"doc_id {id_kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint, score double")
 
 
