@@ -13,8 +13,9 @@ from wayline.adapters import BASE
 FOLDER = "/root/testdata/sf0.001"
 QUICK = ["ag1_signatures", "ag2_patterns", "wn1_position", "wn2_times_backwards", "bi1_agencies", "bi2_stops", "bi4_calendar", "bi10_trip_runs", "rc1_search", "rc4_multi_area",
          "rc8_metro_badges", "wn5_competition_rank", "jn5_nearest_stops", "jn6_footpaths", "jn8_services_on", "ag19_route_length", "fn1_display", "fn3_match_key", "fn9_stable_ids",
-         "mg1_outcomes", "rc17_place_changes", "sl7_rc18_recent", "gr1_stations", "gr7_jn15_parent_links", "src11_src12_round_trip", "src9_steps"]
-NAMES = sorted(entry.queries()) if os.environ.get("WAYLINE_ALL") else QUICK
+         "mg1_outcomes", "rc17_place_changes", "sl7_rc18_recent", "gr1_stations", "gr7_jn15_parent_links", "src11_src12_round_trip", "src9_steps", "geo11_ai4_area_verdicts", "jn16_probable_duplicates", "jn17_matched_stops", "gr6_path_services",
+         "mj7_mj8_counts", "geo15_slices", "src13_line_reasons", "jn23_station_distances", "ai6_regions"]
+NAMES = sorted(entry.oracle_sql()) if os.environ.get("WAYLINE_ALL") else QUICK
 
 
 @pytest.fixture(scope="module")
