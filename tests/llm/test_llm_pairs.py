@@ -1,10 +1,12 @@
 """Near duplicates, line de-duplication, mixing and licence scans against brute force."""
 
+import hashlib
 import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayline.llm import catalog, license_scan, line_dedup, mixing, ngram_join, words
 
@@ -187,6 +189,48 @@ def test_growing_bound_misses_no_line(spark, seed, block):
     assert {x.doc_id for x in drop.collect()} == want and len(want - one) > 5
 
 
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    text = "alpha beta\n\n gamma\talpha  \n" * 40 + "beta"
+    whole = line_dedup.hashed_words(text.encode())
+    monkeypatch.setattr(line_dedup, "STRETCH", 7)
+    parts = line_dedup.hashed_words(text.encode())
+    assert all((a == b).all() for a, b in zip(whole, parts))
+    words_ = [(k, w) for k, line in enumerate(text.split("\n")) for w in line.split()]
+    assert whole[1].tolist() == [k for k, _ in words_] and len(set(whole[0].tolist())) == 3
+    assert {w: int(h) for (_, w), h in zip(words_, whole[0])} == {w: int(line_dedup.hashed_words(w.encode())[0][0]) for w in ("alpha", "beta", "gamma")}
+    assert [len(x) for x in line_dedup.hashed_words(b"")] == [0, 0]
+
+
+@pytest.mark.parametrize("n", range(17, 24))
+def test_one_word_more_is_near_at_any_length(spark, n):
+    line = [f"w{i}" for i in range(n)]
+    values = [(1, " ".join(line)), (2, " ".join([*line[:n // 2], "more", *line[n // 2:]])), (3, " ".join(line[1:])), (4, " ".join(line[::-1]))]
+    _, drop = line_dedup.duplicate_lines(rows(spark, values))
+    assert {r.doc_id for r in drop.collect()} == {2, 3}
+
+
+def test_emitted_runs_are_shared_whatever_the_edits():
+    r = np.random.default_rng(5)
+    for n in [*range(20, 70), 200, 1500]:
+        for _ in range(4):
+            a = r.integers(0, 1 << 62, n).astype("uint64")
+            b = a.tolist()
+            for _ in range(line_dedup.bound(n) - int(r.integers(0, 2))):
+                k = int(r.integers(0, len(b)))
+                b[k:k + int(r.integers(0, 2))] = r.integers(0, 1 << 62, int(r.integers(0, 2))).astype("uint64").tolist()
+            b = np.array(b, "uint64")
+            if min(len(a), len(b)) >= 20 and line_dedup.within(a.tolist(), b.tolist(), line_dedup.bound(min(len(a), len(b)))):
+                found, line = line_dedup.runs_of(np.concatenate([a, b]), np.array([len(a), len(b)]))
+                assert set(found[line == 0].tolist()) & set(found[line == 1].tolist()), n
+
+
+def test_parts_of_hot_groups_are_known_without_a_search(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHOWN", 2)
+    values = [(i, f"the same ten words stand at the head of a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} i{i} j{i} k{i}") for i in range(40)] + [(99, " ".join(f"x{i}" for i in range(30)))]
+    got = line_dedup.parts_shared(line_dedup._keyed(rows(spark, values)).coalesce(2)).distinct().groupBy("key").count().collect()
+    assert max(r["count"] for r in got) == 40 and min(r["count"] for r in got) > 1
+
+
 def test_groups_cross_batches():
     import pandas as pd
 
@@ -260,6 +304,74 @@ def test_whole_and_wrapped_licences(spark):
     assert got == {(1, "MIT"): (1, True), (2, "Apache-2.0"): (1, False), (3, "MIT"): (1, False), (5, "GPL-3.0-or-later"): (0, True), (6, "MIT"): (1, False), (None, "MIT"): (0, True)}
 
 
+def brute_licences(values, known, texts):
+    """All runs of lines, each brought to words and compared with every known text."""
+    table = [(name, license_scan.canonical(t)[0], least) for least, rows_ in ((1, texts), (2, known)) for name, t in rows_]
+    lines_only = [(name, w) for name, w, least in table if least == 2]
+    out = {}
+    for d, t in values:
+        lines = [x for x in (license_scan.canonical(line)[0] for line in (t or "").split("\n")) if x]
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                run, whole = sum(lines[i:j], []), (i, j) == (0, len(lines))
+                names = {name for name, w, least in table if w == run and j - i >= least}
+                names |= {name for name, w in lines_only if w == run and j - i == 1}
+                for name in names:
+                    n, x = out.get((d, name), (0, False))
+                    out[d, name] = n + (not whole or j - i == 1), x or whole
+    return out
+
+
+def test_licences_equal_brute_force(spark):
+    r = random.Random(11)
+    known = [("A", "one two three"), ("B", "one two three four five"), ("C", "one"), ("D", "one two x")]
+    values = [(i, "\n".join(" ".join(r.choice(["one", "two", "three", "four", "five", "x"]) for _ in range(r.randint(0, 3))) for _ in range(r.randint(0, 9)))) for i in range(120)]
+    got = {(x.doc_id, x.license): (x.n_lines, x.whole_text) for x in license_scan.scan(rows(spark, values), known).collect() if x.license in "ABCD"}
+    assert got == brute_licences(values, known, []) and len(got) > 15
+
+
+def test_a_million_short_lines_are_scanned_in_seconds(spark):
+    import time
+
+    text = "\n".join(f"w{i % 977}" for i in range(1_000_000)) + "\nReleased under\nthe MIT License."
+    start = time.time()
+    got = license_scan.run_licenses(rows(spark, [(1, text)]), license_scan.known_runs()).collect()
+    assert [tuple(x) for x in got] == [(1, "MIT", False)] and time.time() - start < 60
+
+
+def plain_mix(values, share, epochs, seed_order):
+    """Copies per row of one leaf by plain counting: whole epochs, then the longest prefix in the given order."""
+    total = sum(n for _, n in values)
+    budget = min(int(total * share), total * epochs)
+    full = min(epochs, budget // total) if total else 0
+    rest, out = budget - full * total, {}
+    for k in seed_order:
+        n = dict(values)[k]
+        rest -= n
+        out[k] = full + (full < epochs and rest >= 0)
+    return out
+
+
+@pytest.mark.parametrize("share,epochs", [(0.4, 1), (1.3, 2), (9.0, 3)])
+def test_mix_of_one_leaf_equals_plain_counting(spark, share, epochs):
+    r = random.Random(4)
+    values = [(i, " ".join([f"w{i}"] * r.randint(1, 9))) for i in range(200)]
+    got = {x.doc_id: x for x in mixing.mix(rows(spark, values), share, epochs, {}, 5, domain=F.lit("d")).collect()}
+    total = sum(x.n_tokens for x in got.values())
+    full = min(epochs, int(total * share) // total)
+    key = {x.doc_id: hashlib.md5(f"5:{full}:{x.doc_id}:{x.text_key}:-1".encode()).hexdigest() for x in got.values()}
+    want = plain_mix([(d, x.n_tokens) for d, x in got.items()], share, epochs, sorted(got, key=key.get))
+    assert {d: x.copies for d, x in got.items()} == want
+
+
+def test_repeated_rows_are_spread_and_stay_within_the_budget(spark):
+    docs = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, 7).cast("bigint").alias("doc_id"), F.lit("four words of text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.col("id").alias("row"), F.lit("x").alias("copies"))
+    got = mixing.mix(docs, 0.5, 1, {}, 3).collect()
+    assert sum(x.copies for x in got) == 10_000 and len(got) == 20_000
+    out = mixing.mixed(docs, 0.5, 1, {}, 3)
+    assert out.columns == docs.columns and out.count() == 10_000 and out.select("row").distinct().count() == 10_000
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

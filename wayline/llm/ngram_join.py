@@ -242,3 +242,16 @@ def near_texts(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, to
 
 def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     return near_texts(docs, n, threshold, tolerance, block).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+def drop_near(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each connected group of near duplicates: the one with the smallest id (null last), then text hash. Rows without a word are
+    no copies of each other. The caller's columns, whatever their names, are carried in a struct of their own."""
+    found = near_texts(docs.select("doc_id", "text"), n, threshold, tolerance, block)
+    first = F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.tk").alias("tk"))
+    gone = stage(found.filter(~first.eqNullSafe(F.struct("doc_id", "tk"))).select(F.struct("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct())
+    # A row without a word is kept apart by its number.
+    own = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"), F.struct("doc_id").alias("_id"), text_key().alias("_tk"), own.alias("_own"))
+    kept = rows.join(gone, ["_id", "_tk"], "left_anti").dropDuplicates(["_id", "_tk", "_own"])
+    return kept.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
