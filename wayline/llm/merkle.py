@@ -68,6 +68,13 @@ def levels_of(n: int) -> int:
     return max(n - 1, 0).bit_length()
 
 
+def _with_group(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """Rows (``g``, ``at``) with the one row of their group. A group may hold most rows, so the few are copied to each stretch of places."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.withColumn("_part", F.pmod(F.shiftright("at", 10), F.lit(parts)).cast("int")).join(few, ["g", "_part"]).drop("_part")
+
+
 def _appended(nodes: DataFrame, block: int) -> DataFrame:
     """One round: ``path`` (the witness within the block) for each node, and a row with a null ``at`` for each block's root.
 
@@ -98,12 +105,13 @@ def trees(nodes: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Nodes (``g``, ``at``, ``digest`` and what else they carry) with ``n`` and their whole ``path``, and per group ``g``, ``root``, ``n``."""
     sizes = stage(nodes.groupBy("g").agg(F.count("*").alias("n")))
     most = sizes.agg(F.max("n")).first()[0] or 0
-    rounds = [_appended(nodes.join(sizes, "g"), block)]
+    rounds = [_appended(_with_group(nodes, sizes), block)]
     length = F.col("n")
     while most > block:
         most = -(-most // block)
         length = F.ceil(length / F.lit(block)).cast("bigint")
-        up = rounds[-1].filter("at is null").select("g", F.col("block").alias("at"), "digest").join(sizes.select("g", length.alias("n")), "g")
+        up = rounds[-1].filter("at is null").select("g", F.col("block").alias("at"), "digest")
+        up = _with_group(up, sizes.select("g", length.alias("n")))
         rounds.append(_appended(up, block))
     roots = rounds[-1].filter("at is null").select("g", F.col("digest").alias("root")).join(sizes, "g")
     whole = rounds[-1].filter("at is not null")
@@ -133,7 +141,7 @@ def manifest(docs: DataFrame, group: str = "lang", claimed: Column | None = None
     top, root = trees(scan(tops, ["g"], ["name"]), block)
     top = top.join(root.select("g", "root"), "g").select(
         F.col("name").alias("g"), F.col("digest").alias("subroot"), F.col("at").alias("g_at"), F.col("n").alias("g_n"), F.col("path").alias("g_path"), "root")
-    return whole.withColumnRenamed("digest", "leaf").join(top, "g")
+    return _with_group(whole.withColumnRenamed("digest", "leaf"), stage(top))
 
 
 def folded(node: bytes, at: int, n: int, path: bytes) -> bytes:
