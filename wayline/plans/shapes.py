@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from wayline.functions.geo import DEGREE_METERS, EARTH, EARTH_METRO, haversine, point_segment
 from wayline.operators.accept import reasons
 from wayline.operators.ordered import position, previous, running_sum
-from wayline.operators.stage import stage
+from wayline.operators.stage import spread, stage
 
 # Metres between a stop and the shape that passes it, and between a station and the shapes of its services.
 STOP_METERS = 300.0
@@ -56,7 +56,7 @@ def usable_shapes(points: DataFrame) -> DataFrame:
     d = d.filter(F.col("_p").isNull() | (F.col("_p.lat") != F.col("lat")) | (F.col("_p.lon") != F.col("lon")))
     d = stage(position(d, ["shape_id"], "seq", "_at"))
     several = d.filter("_at = 1").select("shape_id")
-    return d.join(several, "shape_id", "left_semi").select("shape_id", F.col("_at").alias("seq"), "lat", "lon")
+    return d.join(spread(several), "shape_id", "left_semi").select("shape_id", F.col("_at").alias("seq"), "lat", "lon")
 
 
 def service_shapes(use: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -163,21 +163,21 @@ def shape_distances(links: DataFrame, stations: DataFrame, use: DataFrame, shape
     A station looks at its own cell and the eight around it. The nearest piece found there is the nearest of all if it is nearer than the cells
     reach; else the station goes on in a grid of twice the width. So a station meets the pieces around it, not all of its service.
     """
-    v = shapes.join(use.select("shape_id", "route_id"), "shape_id")
+    v = shapes.join(spread(use.select("shape_id", "route_id")), "shape_id")
     segs = previous(v, ["route_id", "shape_id"], "seq", F.struct("lat", "lon"), "p").filter("p is not null")
     segs = stage(segs.select("route_id", F.col("p.lon").alias("ax"), F.col("p.lat").alias("ay"), F.col("lon").alias("bx"), F.col("lat").alias("by")))
     have = segs.select("route_id").distinct()
-    left = stage(links.select("route_id", "station").distinct().join(have, "route_id", "left_semi").join(stations.select("station", "lat", "lon"), "station"))
+    left = stage(links.select("route_id", "station").distinct().join(spread(have), "route_id", "left_semi").join(spread(stations.select("station", "lat", "lon")), "station"))
     found, size = [], start
     while left.limit(1).count():
         around = left.withColumn("cy", F.explode(F.sequence(_cell(F.col("lat"), size) - 1, _cell(F.col("lat"), size) + 1))).withColumn("cx", F.explode(F.sequence(_cell(F.col("lon"), size) - 1, _cell(F.col("lon"), size) + 1)))
-        d = around.join(_crossed(segs, size), ["route_id", "cy", "cx"])
+        d = around.join(spread(_crossed(segs, size)), ["route_id", "cy", "cx"])
         k = F.cos(F.radians("lat"))
         X = lambda c: F.radians(F.col(c) - F.col("lon")) * EARTH * k
         Y = lambda c: F.radians(F.col(c) - F.col("lat")) * EARTH
         best = d.groupBy("route_id", "station").agg(F.min(point_segment(F.lit(0.0), F.lit(0.0), X("ax"), Y("ay"), X("bx"), Y("by"))).alias("meters"))
         sure = F.lit(size) * EARTH * F.radians(F.lit(1.0)) * F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + size)))
-        now = stage(left.join(best, ["route_id", "station"], "left").withColumn("done", F.coalesce(F.col("meters") <= sure, F.lit(False)) | F.lit(size > 360.0)))
+        now = stage(left.join(spread(best), ["route_id", "station"], "left").withColumn("done", F.coalesce(F.col("meters") <= sure, F.lit(False)) | F.lit(size > 360.0)))
         found.append(now.filter("done and meters is not null").select("route_id", "station", "meters"))
         left = stage(now.filter("not done").select("station", "route_id", "lat", "lon"))
         size *= 2
