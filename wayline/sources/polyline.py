@@ -1,8 +1,9 @@
-"""Encoded polylines: vertices to text and back, as column algebra over exploded characters."""
+"""Encoded polylines: vertices to text and back; a text is cut into values in its row, only points are shuffled."""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wayline.operators.ordered import previous, running_sum
+from wayline.operators.stage import stage
 
 SCALE = 1e5
 
@@ -29,25 +30,28 @@ def encode(vertices: DataFrame) -> DataFrame:
     return d.groupBy("route_id").agg(F.expr("listagg(part) WITHIN GROUP (ORDER BY seq)").alias("encoded"))
 
 
+def _delta(text: Column) -> Column:
+    """The number a value stands for: five bits a character, of seven characters at most, the lowest bit its sign."""
+    bits = lambda i: F.ascii(F.substring(text, i + 1, 1)) - 63
+    z = F.lit(0).cast("bigint")
+    for i in range(7):
+        z = z + F.when(F.length(text) > i, F.shiftleft(bits(i).bitwiseAND(F.lit(31)).cast("bigint"), 5 * i)).otherwise(F.lit(0))
+    z = F.when(text.isNotNull(), z)
+    return F.when(z % 2 == 1, -F.floor(z / 2) - 1).otherwise(F.floor(z / 2))
+
+
 def decode(encoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices of the readable texts, and the rejected texts with a reason."""
-    chars = encoded.select("route_id", F.posexplode(F.split("encoded", "")).alias("pos", "ch")).filter("ch <> ''")
-    chars = chars.withColumn("code", F.ascii("ch") - 63).withColumn("ends", (F.col("code") < 32).cast("bigint"))
-    d = running_sum(chars, ["route_id"], "pos", F.col("ends"), "value_no", inclusive=False)
-    d = previous(d, ["route_id"], "pos", F.when(F.col("ends") == 1, F.col("pos")), "cut")
-    d = d.withColumn("k", F.col("pos") - F.coalesce("cut", F.lit(-1)) - 1)
-    values = d.groupBy("route_id", "value_no").agg(
-        F.sum(F.col("code").bitwiseAND(F.lit(31)).cast("bigint") * F.pow(F.lit(2.0), F.col("k") * 5).cast("bigint")).alias("z"), F.max("ends").alias("closed"),
-        F.max("k").alias("k"), F.min("code").alias("lo"), F.max("code").alias("hi"))
-    z = F.col("z")
-    delta = F.when(z % 2 == 1, -F.floor(z / 2) - 1).otherwise(F.floor(z / 2))
-    values = values.withColumn("delta", delta).withColumn("point", F.floor(F.col("value_no") / 2)).withColumn("axis", F.col("value_no") % 2)
-    pts = values.groupBy("route_id", "point").agg(F.sum(F.when(F.col("axis") == 0, F.col("delta"))).alias("dy"), F.sum(F.when(F.col("axis") == 1, F.col("delta"))).alias("dx"),
-                                                  F.min("closed").alias("closed"), F.max("k").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # A value ends with its first character below 95; the text ends with an open value if it ends with another one.
+    texts = encoded.select("route_id", F.regexp_extract_all("encoded", F.lit(r"[^\x00-\x5E]*[\x00-\x5E]|[^\x00-\x5E]+\z"), F.lit(0)).alias("texts")).filter(F.size("texts") > 0)
+    pair = F.transform(F.sequence(F.lit(0), F.floor((F.size("texts") - 1) / 2).cast("int")), lambda p: F.struct(F.get("texts", 2 * p).alias("y"), F.get("texts", 2 * p + 1).alias("x")))
+    pts = texts.select("route_id", F.posexplode(pair).alias("point", "t")).select("route_id", F.col("point").cast("bigint").alias("point"), F.col("t.y").alias("ty"), F.col("t.x").alias("tx"))
+    wrong = lambda t: (F.ascii(F.substring(t, -1, 1)) >= 95) | (F.length(t) > 7) | t.rlike(r"[^\x3F-\x7E]")
+    pts = pts.select("route_id", "point", _delta(F.col("ty")).alias("dy"), _delta(F.col("tx")).alias("dx"), (F.col("tx").isNull() | wrong(F.col("ty")) | wrong(F.col("tx"))).alias("bad"))
     pts = running_sum(running_sum(pts, ["route_id"], "point", F.col("dy"), "y"), ["route_id"], "point", F.col("dx"), "x")
     pts = pts.withColumn("lat", F.col("y") / SCALE).withColumn("lon", F.col("x") / SCALE)
-    bad = (F.col("closed") == 0) | (F.col("k") > 6) | (F.col("lo") < 0) | (F.col("hi") > 63) | F.col("dx").isNull()
-    per = pts.groupBy("route_id").agg(F.bool_or(bad).alias("bad"), F.bool_or((F.abs("lat") > 90) | (F.abs("lon") > 180)).alias("far"), F.count(F.lit(1)).alias("n"),
+    pts = stage(pts.select("route_id", "point", "lat", "lon", "bad"))
+    per = pts.groupBy("route_id").agg(F.bool_or("bad").alias("bad"), F.bool_or((F.abs("lat") > 90) | (F.abs("lon") > 180)).alias("far"), F.count(F.lit(1)).alias("n"),
                                       (F.min("lat") != F.max("lat")).alias("my"), (F.min("lon") != F.max("lon")).alias("mx"))
     why = (F.when(F.trim(F.coalesce("encoded", F.lit(""))) == "", "MISSING").when(F.col("bad"), "MALFORMED").when(F.col("far"), "COORDINATE_OUT_OF_RANGE")
            .when(F.col("n") < 2, "TOO_FEW_POINTS").when(~F.col("mx") & ~F.col("my"), "NO_LENGTH"))
