@@ -356,7 +356,7 @@ def plain_mix(values, share, epochs, seed_order):
 def test_mix_of_one_leaf_equals_plain_counting(spark, share, epochs):
     r = random.Random(4)
     values = [(i, " ".join([f"w{i}"] * r.randint(1, 9))) for i in range(200)]
-    got = {x.doc_id: x for x in mixing.mix(rows(spark, values), share, epochs, {}, 5, domain=F.lit("d")).collect()}
+    got = {x.doc_id: x for x in mixing.mix(rows(spark, values).withColumn("source", F.lit("s")), share, epochs, {}, 5, domain=F.lit("d")).collect()}
     total = sum(x.n_tokens for x in got.values())
     full = min(epochs, int(total * share) // total)
     key = {x.doc_id: hashlib.md5(f"5:{full}:{x.doc_id}:{x.text_key}:-1".encode()).hexdigest() for x in got.values()}
