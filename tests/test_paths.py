@@ -3,12 +3,74 @@
 import random
 from types import SimpleNamespace
 
+import pytest
+
 from wayline.catalog import metro_journeys as cat
 from wayline.plans import bus_plan as b, metro as m, metro_journey as mj
 
 RIDE = "ride_id string, board string, exit string, hops bigint"
 
 
+def graph(rng, n=9, more=5):
+    edges = {(f"R{i % 3}", f"s{i}", f"s{i + 1}") for i in range(n - 1)}
+    return sorted(edges | {(f"R{rng.randint(0, 2)}", f"s{x}", f"s{y}") for x, y in (sorted(rng.sample(range(n), 2)) for _ in range(more))})
+
+
+def simple(edges, board, exit_, hops):
+    near, found = {}, []
+    for _, x, y in edges:
+        near.setdefault(x, set()).add(y), near.setdefault(y, set()).add(x)
+
+    def grow(path):
+        if len(path) == hops + 1:
+            found.extend([path] if path[-1] == exit_ else [])
+        else:
+            [grow([*path, y]) for y in near.get(path[-1], ()) if y not in path]
+
+    grow([board])
+    return found
+
+
+def counted(monkeypatch, module, name):
+    calls, real = [], getattr(module, name)
+
+    def call(*a):
+        calls.append(real(*a))
+        return calls[-1]
+
+    monkeypatch.setattr(module, name, call)
+    return calls
+
+
+def test_rides_are_rebuilt_and_equal_ones_ask_once(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = graph(rng)
+    conn = spark.createDataFrame(edges, "route_id string, from_station string, to_station string")
+    ends = [(f"s{rng.randint(0, 8)}", f"s{rng.randint(0, 8)}", rng.randint(1, 5)) for _ in range(40)] + [("s1", None, 0), (None, "s2", 2), ("s1", "s0", 1)]
+    rides = [(f"t{i}", *e) for i, e in enumerate(ends)]
+    want = {r: p[0] for r, a, z, h in rides if len(p := [[a]] if h == 0 else simple(edges, a, z, h)) == 1}
+    assert len(want) > 5
+
+    def run(some):
+        staged = counted(monkeypatch, m, "stage")
+        paths = m.reconstruct(spark.createDataFrame(some, RIDE), conn)
+        got = {r.ride_id: r.path for r in paths.collect()}
+        monkeypatch.undo()
+        return paths, got, sum(x.count() for x in staged)
+
+    paths, got, few = run(rides)
+    assert got == want
+    _, got, many = run([(f"{r}/{k}", *e) for r, *e in rides for k in range(4)])
+    assert got == {f"{r}/{k}": p for r, p in want.items() for k in range(4)} and many == few
+    twice = run([rides[-1], rides[-1]])[1]
+    assert twice == {}  # an id that comes twice has no one path
+    of = {}
+    for r, x, y in edges:
+        of.setdefault(frozenset((x, y)), set()).add(r)
+    served = {(r, s) for r, p in want.items() if len(p) > 1 for s in set.intersection(*(of[frozenset(e)] for e in zip(p, p[1:])))}
+    assert sorted(tuple(r) for r in m.services_on_path(paths, conn).collect()) == sorted(served) and served
+
+
 def test_arrivals_by_every_boarded_pattern(spark):
     rng = random.Random(3)
     calls = [(f"p{p}", p % 4, i, s, 60 * i, 30 * (p % 5)) for p in range(12) for i, s in enumerate(rng.sample(range(10), 5))]
