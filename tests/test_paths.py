@@ -71,6 +71,43 @@ def test_rides_are_rebuilt_and_equal_ones_ask_once(spark, monkeypatch):
     assert sorted(tuple(r) for r in m.services_on_path(paths, conn).collect()) == sorted(served) and served
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_paths_are_the_only_simple_ones(spark, seed):
+    rng = random.Random(seed)
+    edges = graph(rng, 8, 4)
+    cand = [("L", "R0"), ("L", "R1"), ("M", None)]
+    asks = {(i, rng.choice("LM"), f"s{rng.randint(0, 7)}", f"s{rng.randint(0, 7)}", rng.randint(1, 6)) for i in range(60)}
+    want = {}
+    for i, line, a, z, h in asks:
+        paths = simple([e for e in edges if line == "M" or ("L", e[0]) in cand], a, z, h) if a != z else []
+        if len(paths) == 1:
+            want[i] = paths[0]
+    got = mj.ride_paths(spark.createDataFrame(sorted(asks), "request bigint, line string, board string, exit string, hops int"),
+                        spark.createDataFrame(cand, "line string, service string"), spark.createDataFrame(edges, "service string, a string, b string"))
+    assert {r.request: r.path for r in got.collect()} == want and len(want) > 5
+
+
+def test_one_walk_needs_no_rounds_of_its_own(spark, monkeypatch):
+    edges = [("R", f"s{i}", f"s{i + 1}") for i in range(6)]
+    staged = counted(monkeypatch, mj, "stage")
+    got = mj.ride_paths(spark.createDataFrame([(1, "L", "s0", "s6", 6), (2, "L", "s6", "s1", 5)], "request bigint, line string, board string, exit string, hops int"),
+                        spark.createDataFrame([("L", "R")], "line string, service string"), spark.createDataFrame(edges, "service string, a string, b string"))
+    assert {r.request: len(r.path) for r in got.collect()} == {1: 7, 2: 6}
+    assert len(staged) <= 6 + 10
+
+
+def test_paths_of_a_query_are_looked_for_once(spark, monkeypatch):
+    station = spark.createDataFrame([(f"s{i}", f"Stop {i}", 20 + i / 100, 70.0) for i in range(4)], "station string, name string, lat double, lon double")
+    service = spark.createDataFrame([("A", "G", "Line 1", "Line 1")], "service string, group_id string, group_name string, name string")
+    edges = spark.createDataFrame([("A", f"s{i}", f"s{i + 1}") for i in range(3)], "service string, a string, b string")
+    steps = [(1, 0, "RIDE", 9, 9, 3, "Line 1", "SUBWAY", "Stop 0", 20.0, 70.0, "Stop 3", 20.03, 70.0), (2, 0, "RIDE", 9, 9, 2, "Line 1", "SUBWAY", "Stop 0", 20.0, 70.0, "Stop 3", 20.03, 70.0)]
+    t = SimpleNamespace(n_station=station, n_service=service, n_step=edges, n_provider_step=spark.createDataFrame(
+        steps, "route_id bigint, seq bigint, kind string, meters bigint, seconds bigint, stop_count bigint, line string, vehicle string, from_name string, from_lat double, from_lon double, to_name string, to_lat double, to_lon double"))
+    found, matched = counted(monkeypatch, mj, "ride_paths"), counted(monkeypatch, mj, "match_stops")
+    assert [tuple(r) for r in cat.gr5(t).collect()] == [("Line 1", "s0", "s3", 3, "s0|s1|s2|s3")] and (len(found), len(matched)) == (1, 1)
+    assert [tuple(r) for r in cat.gr6(t).collect()] == [("Line 1", "s0", "s3", 3, "A")] and (len(found), len(matched)) == (2, 2)
+
+
 def test_arrivals_by_every_boarded_pattern(spark):
     rng = random.Random(3)
     calls = [(f"p{p}", p % 4, i, s, 60 * i, 30 * (p % 5)) for p in range(12) for i, s in enumerate(rng.sample(range(10), 5))]
