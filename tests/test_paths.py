@@ -128,3 +128,15 @@ def test_arrivals_by_every_boarded_pattern(spark):
     assert sorted((r.request_id, r.pattern_id, r.idx, r.cost, r.legs[0].board_idx) for r in got.collect()) == sorted(want) and len(want) > 40
     # The rows per later position are made after the last shuffle.
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_positions_that_come_twice_keep_a_row_per_copy(spark):
+    net = b.Network(None, None, None, None, None, None, None)
+    calls = [("p", 7, i, 10 + i, 60 * i, 0) for i in range(3)]
+    net.__dict__.update(calls=spark.createDataFrame(calls * 2, "pattern_id string, route_id bigint, idx bigint, stop_id bigint, offset_s bigint, wait_s bigint"), active=spark.createDataFrame([("mon", "p")], "day string, pattern_id string"))
+    marked = spark.createDataFrame([(1, 10, 50, -1, False, []), (1, 11, 0, -1, False, [])], f"request_id bigint, stop_id bigint, cost bigint, via_route bigint, by_ride boolean, legs {b.LEG}")
+    asks = spark.createDataFrame([(1, "mon", 180)], "request_id bigint, day string, penalty int")
+    got = b.ride_arrivals(b.boardings(marked, asks, net, None), net).collect()
+    # Two copies of the line times two boardings at each of the first two positions: the first row there sees only the positions before.
+    want = [(0, 230, 0)] * 3 + [(1, 290, 0)] + [(1, 180, 1)] * 3 + [(2, 240, 1)] * 2
+    assert sorted((r.legs[0].alight_idx, r.cost, r.legs[0].board_idx) for r in got) == sorted(want)
