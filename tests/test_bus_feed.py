@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayline.operators.accept import accepted
-from wayline.plans.bus_feed import Import
+from wayline.adapters import Tables
+from wayline.operators.ordered import WIDTH
+from wayline.plans.bus_feed import Import, shapes, stop_ids, stops, trip_results
 
 DAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 
@@ -60,3 +62,34 @@ def test_past_midnight_and_usage(feed):
     use = {r.what: r.n for r in feed.usage().collect()}
     assert use["routes without trips"] == 1 and use["unused stops"] == 1 and use["shape references cleared"] == 1
     assert feed.service_period().first().days == "monday,tuesday,wednesday,thursday,friday"
+
+
+def test_trips_and_shapes_are_judged_across_stretches(spark):
+    far = WIDTH * 3
+    rows = [("T1", 1, 10, 20), ("T1", 2, None, None), ("T1", far, None, 15), ("T2", 1, 10, 20), ("T2", far, 20, None), ("T2", far + 1, None, None), ("T3", 1, 5, 5)]
+    rows = [(t, s, a, d, "accepted") for t, s, a, d in rows] + [("T3", None, 9, 9, "rejected"), ("T4", None, None, None, "rejected"), ("T5", 1, 1, 1, "ignored")]
+    times = spark.createDataFrame(rows, "trip_id string, seq int, arrival_s int, departure_s int, outcome string")
+    ids = spark.createDataFrame([(f"T{i}",) for i in range(1, 7)], "trip_id string")
+    got = {r.trip_id: (r.rows, r.reason) for r in trip_results(times, ids).collect()}
+    few, none = "trip with fewer than two valid stop times", "trip without stop times"
+    assert got == {"T1": (3, "trip with times going backwards"), "T2": (3, None), "T3": (1, few), "T4": (0, few), "T5": (0, none), "T6": (0, none)}
+    at = lambda shape, seq, lat: (shape, str(lat), "77", str(seq))
+    points = [at("H1", 1, 28), at("H1", 1, 29), at("H1", 2, 28), at("H1", far, 28), at("H2", 5, 28), at("H2", far, 28), at("H2", far + 1, 30), at("H2", 2 * far, 28), at("H3", 1, 99)]
+    raw = table(spark, "shape_id shape_pt_lat shape_pt_lon shape_pt_sequence", points)
+    assert {r.shape_id: (r.points, r.outcome) for r in shapes(raw).collect()} == {"H1": (1, "rejected"), "H2": (3, "accepted")}
+
+
+def test_accepted_keys_are_those_of_the_accepted_rows(spark):
+    raw = table(spark, "stop_id stop_name stop_lat stop_lon location_type wheelchair_boarding", [
+        ("S1", "A", "abc", "77", "", ""), ("S1", "B", "28", "77", "", ""), ("S1", "C", "28", "77", "", ""), ("S2", "D", "28", "77", "1", ""), ("", "E", "28", "77", "", ""),
+        ("S3", "", "28", "77", "", ""), ("S4", "F", "28", "77", "2", ""), ("S4", "F", "28", "77", "0", "")])
+    assert sorted(r.stop_id for r in stop_ids(raw).collect()) == sorted({r.stop_id for r in accepted(stops(raw)).collect()}) == ["S1", "S4"]
+
+
+def test_kept_views_are_made_once(spark):
+    t = Tables(spark, "nowhere")
+    t._made["a_line"] = spark.createDataFrame([(1, 2, 3, 1, 5.0, 0, 0)], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, pos int, off bigint")
+    t.keep("a_line")
+    files = t.a_line.inputFiles()
+    assert files and t.raw_stop_time.inputFiles() == t.raw_shape.inputFiles() == t.raw_stop.inputFiles() == files
+    assert t.raw_stop_time.first().trip_id == "T1"

@@ -95,6 +95,7 @@ SELECT s.* FROM f_stop_time s WHERE s.outcome = 'accepted' AND s.trip_id IN (SEL
 
 
 def feed(t) -> b.Import:
+    t.keep("a_line")
     return b.Import(t.raw_agency, t.raw_stop, t.raw_route, t.raw_calendar, t.raw_calendar_date, t.raw_shape, t.raw_trip,
                     t.raw_stop_time)
 
@@ -146,7 +147,7 @@ def bi7(t):
 
 @query("bi7_shapes", "SELECT shape_id, points, outcome, reason FROM f_shape")
 def bi7_shapes(t):
-    return b.shapes(b.shape_points(t.raw_shape))
+    return b.shapes(t.raw_shape)
 
 
 @query("bi8_trips", f"""SELECT row_pos, outcome, reason, NULLIF({CLEAN.format(c='trip_headsign')}, '') AS headsign,

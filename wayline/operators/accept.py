@@ -15,6 +15,23 @@ def reasons(*rules: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for cond, name in rules])
 
 
+def _ruled(df: DataFrame, reason: Column, always: Column | None, skip: Column | None) -> DataFrame:
+    d = df.withColumn("_always", always if always is not None else F.lit(None).cast("string"))
+    d = d.withColumn("_skip", F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False))
+    return d.withColumn("_why", reason)
+
+
+def acceptable(df: DataFrame, key: list[str], pos: str, reason: Column, always: Column | None = None, skip: Column | None = None) -> DataFrame:
+    """The rows without a fault of their own, of which :func:`judge` accepts the first of each key."""
+    d = _ruled(df, reason, always, skip)
+    return d.filter(F.col("_always").isNull() & ~F.col("_skip") & F.col("_why").isNull()).drop("_always", "_skip", "_why")
+
+
+def accepted_keys(df: DataFrame, key: list[str], pos: str, reason: Column, always: Column | None = None, skip: Column | None = None) -> DataFrame:
+    """The distinct keys of the rows that :func:`judge` accepts: a key with an acceptable row has a first one, so no row is joined back."""
+    return acceptable(df, key, pos, reason, always, skip).select(*key).distinct()
+
+
 def judge(df: DataFrame, key: list[str], pos: str, reason: Column, always: Column | None = None,
           skip: Column | None = None, skip_blocks: bool = False, late_duplicate: bool = False) -> DataFrame:
     """Adds ``outcome`` (accepted / skipped / duplicate / rejected) and ``reason``.
@@ -23,9 +40,7 @@ def judge(df: DataFrame, key: list[str], pos: str, reason: Column, always: Colum
     neither accepted nor rejected; with ``skip_blocks`` their id also makes later rows duplicates.
     ``late_duplicate`` reports a bad later copy under its own reason instead of as a duplicate.
     """
-    d = df.withColumn("_always", always if always is not None else F.lit(None).cast("string"))
-    d = d.withColumn("_skip", F.coalesce(skip, F.lit(False)) if skip is not None else F.lit(False))
-    d = d.withColumn("_why", reason)
+    d = _ruled(df, reason, always, skip)
     wins = F.col("_always").isNull() & ((~F.col("_skip") & F.col("_why").isNull())
                                         | (F.col("_skip") if skip_blocks else F.lit(False)))
     first = d.filter(wins).groupBy(*key).agg(F.min(pos).alias("_first"))
