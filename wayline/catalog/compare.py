@@ -89,6 +89,7 @@ SELECT a.route_id, a.area_id, row_number() OVER (PARTITION BY a.route_id ORDER B
  greatest(0e0, least(1e0, a.position)) AS position, EXISTS (SELECT 1 FROM c_hit h WHERE h.route_id = a.route_id AND h.area_id = a.area_id) AS matched,
  EXISTS (SELECT 1 FROM c_sel s WHERE s.session_id = a.session_id AND s.area_id = a.area_id) AS selected FROM a_option_area a""")
 def rc6(t):
+    t.keep("a_line")
     return c.timeline(t.a_option_area, c.area_hits(t.a_search, t.a_option_area), selected(t))
 
 
@@ -172,12 +173,17 @@ SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY tier, total, idx)
 
 
 def judged(t):
+    t.keep("a_line")
     return stage(c.avoided(c.modes_of(t.a_option, t.a_leg), t.a_pref))
 
 
 def access(t, j=None):
-    j = j if j is not None else judged(t)
-    return stage(c.accessible_routes(j.filter("not hidden"), c.access_levels(c.access_points(t.a_access_point))))
+    """``j``: judged routes that are written already; else preferences come first, so that routes meet their legs and their stops in one shuffle."""
+    if j is None:
+        t.keep("a_line")
+        j = c.hiding(c.modes_of(t.a_option.join(t.a_pref, "session_id"), t.a_leg))
+    shown = j.filter("not hidden").select("session_id", "route_id", "idx", "mode", "currency", *c.CRITERIA, *c.CRITERIA.values(), "step_free", "avoid_inaccessible")
+    return c.accessible_routes(shown, c.access_levels(c.access_points(t.a_access_point)))
 
 
 @query("rc10_modes", "SELECT route_id, array_to_string(modes, ',') AS modes, unidentified FROM c_mode")
@@ -197,7 +203,7 @@ def rc12(t):
 
 @query("rc13_ordered", "SELECT session_id, route_id, tier, CAST(total AS BIGINT) AS total, place FROM c_order")
 def rc13(t):
-    a = access(t)
+    a = stage(access(t).select("session_id", "route_id", "idx", "mode", "currency", *c.CRITERIA, *c.CRITERIA.values(), "kept", "tier"))
     return c.preferred_order(a, c.criteria(a))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from wayline.functions import scalars as s, text as tx
 from wayline.operators.accept import reasons
 from wayline.operators.ordered import running_sum
+from wayline.operators.stage import stage
 
 QUALITY = {"exact": 0, "prefix": 1, "contains": 2}
 TRAVEL_MODES = ["TWO_WHEELER", "FOUR_WHEELER", "BUS", "METRO", "TRAIN", "WALKING", "CYCLING"]
@@ -110,10 +111,12 @@ def match_routes(wanted: DataFrame, areas: DataFrame) -> DataFrame:
 
 
 def timeline(areas: DataFrame, matched: DataFrame, selected: DataFrame) -> DataFrame:
-    m = matched.select("route_id", "area_id").distinct().withColumn("matched", F.lit(True))
-    k = selected.select("session_id", "area_id").distinct().withColumn("chosen", F.lit(True))
+    # What was matched on a route and chosen in a session travels as one array, so routes cross two shuffles, the second of which also orders them.
+    m = matched.groupBy("route_id").agg(F.collect_set("area_id").alias("hits"))
+    k = selected.groupBy("session_id").agg(F.collect_set("area_id").alias("picks"))
     order = W.partitionBy("route_id").orderBy("sequence", "position", "area_id")
-    return (areas.join(m, ["route_id", "area_id"], "left").join(k, ["session_id", "area_id"], "left")
+    return (areas.join(k, "session_id", "left").withColumn("chosen", F.array_contains("picks", F.col("area_id"))).drop("picks")
+            .join(m, "route_id", "left").withColumn("matched", F.array_contains("hits", F.col("area_id")))
             .select("route_id", "area_id", F.row_number().over(order).alias("place"),
                     F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("position"))).alias("position"),
                     F.coalesce("matched", F.lit(False)).alias("matched"), F.coalesce("chosen", F.lit(False)).alias("selected")))
@@ -198,8 +201,12 @@ def access_levels(points: DataFrame) -> DataFrame:
 
 def avoided(used: DataFrame, prefs: DataFrame) -> DataFrame:
     """Every route with its preferences and whether an avoided mode hides it."""
-    return (used.join(prefs, "session_id")
-            .withColumn("avoid_list", F.filter(F.split("avoid", ","), lambda x: x != ""))
+    return hiding(used.join(prefs, "session_id"))
+
+
+def hiding(used: DataFrame) -> DataFrame:
+    """Adds to routes with their modes and preferences whether an avoided mode hides them."""
+    return (used.withColumn("avoid_list", F.filter(F.split("avoid", ","), lambda x: x != ""))
             .withColumn("hit", F.array_intersect("modes", "avoid_list"))
             .withColumn("hidden", F.size("hit") > 0)
             .withColumn("unverified", ~F.col("hidden") & (F.size("avoid_list") > 0) & (F.col("unidentified") > 0)))
@@ -211,6 +218,7 @@ def accessible_routes(shown: DataFrame, levels: DataFrame) -> DataFrame:
                     "route_id", "left")
          .withColumn("applicable", F.coalesce("applicable", F.lit(False)))
          .withColumn("bad", F.col("applicable") & (F.col("level") == "HAS_INACCESSIBLE")))
+    d = stage(d)
     per = d.groupBy("session_id").agg(F.count(F.lit(1)).alias("shown_n"), F.count(F.when(F.col("bad"), 1)).alias("bad_n"),
                                       F.bool_or("applicable").alias("any_applicable"))
     d = d.join(per, "session_id")
@@ -251,8 +259,9 @@ def preferred_order(remaining: DataFrame, statuses: DataFrame) -> DataFrame:
     used = statuses.filter("status = 'applied'").groupBy("session_id").agg(F.collect_set("criterion").alias("used"))
     d = remaining.join(used, "session_id", "left")
     total = F.lit(0)
+    # Routes are gathered by session for their final order, so the ranks are taken there too; as in competition_rank, one without a value has none.
     for name, c in CRITERIA.items():
-        d = competition_rank(d, "session_id", c, f"rank_{name}")
+        d = d.withColumn(f"rank_{name}", F.when(F.col(c).isNotNull(), F.rank().over(W.partitionBy("session_id").orderBy(c))))
         applied = F.coalesce(F.array_contains("used", name), F.lit(False))
         total = total + F.when(applied, F.col(f"rank_{name}")).otherwise(0)
     d = d.withColumn("total", total.cast("bigint")).withColumn("tier", F.coalesce("tier", F.lit(0)))
