@@ -189,6 +189,37 @@ def test_growing_bound_misses_no_line(spark, seed, block):
     assert {x.doc_id for x in drop.collect()} == want and len(want - one) > 5
 
 
+@pytest.mark.parametrize("size", [2, 10_000])
+def test_partners_are_found_in_one_shuffle(spark, size):
+    r = random.Random(size)
+    lines = [(r.randint(0, 9), r.randint(-3, 3), p) for p in range(30)]
+    values = [(*x, r.randint(0, 5), r.randint(-1, 3)) for x in lines for _ in range(8)]
+    values += values[:20]
+    df = spark.createDataFrame(values, "doc_id bigint, tk bigint, pos int, v bigint, gap int").repartition(3)
+    want = set()
+    for *x, v, gap in values:
+        near = [tuple(y) for *y, w, g in values if w == v and (gap < 0 or g in (gap, -1))]
+        if min(near) < tuple(x):
+            want.add((*x, *min(near)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        found = line_dedup._partners(df)
+        assert {tuple(x) for x in found.collect()} == want and len(want) > 50
+        assert found._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 2  # one of the test's own
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_staged_tables_of_lines_go_as_soon_as_they_were_read(spark, monkeypatch):
+    made, gone = [], []
+    monkeypatch.setattr(line_dedup, "stage", lambda d, f=line_dedup.stage: made.append(d.columns) or f(d))
+    monkeypatch.setattr(line_dedup, "drop", lambda *t, f=line_dedup.drop: gone.extend(x.columns for x in t) or f(*t))
+    docs = rows(spark, [(i, f"one two three four five six seven eight {i % 4}\n\nsame") for i in range(9)])
+    assert sorted((x.doc_id, x.n_lines, x.n_equal, x.n_near) for x in line_dedup.line_report(docs).collect()) == [(0, 2, 0, 0), *((i, 2, 1, 1) for i in (1, 2, 3)), *((i, 2, 2, 0) for i in range(4, 9))]
+    lines = ["doc_id", "tk", "pos", "low", "high"]
+    assert lines in made and lines in gone and not any("gap" in x for x in made)
+
+
 def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
     text = "alpha beta\n\n gamma\talpha  \n" * 40 + "beta"
     whole = line_dedup.hashed_words(text.encode())
