@@ -48,3 +48,33 @@ def test_goal_stops_change_no_plan(spark, monkeypatch):
     got = rows(b.search(asks, *ends, net, rounds=2), *cols)
     monkeypatch.setattr(b, "goal_stops", lambda *a: None)
     assert got == rows(b.search(asks, *ends, net, rounds=2), *cols) and got
+
+
+def test_rides_that_lead_to_no_goal_are_not_shuffled(spark):
+    rng = random.Random(5)
+    net, asks = network(spark, rng), requests(spark)
+    marked = spark.createDataFrame([(i, s, 60 * rng.randint(0, 4), -1, False, []) for i in range(8) for s in rng.sample(range(14), 6)], STATE)
+    totals = spark.createDataFrame([], "request_id bigint, best_total bigint, best_legs int")
+    goals = spark.createDataFrame([(i, s) for i in range(7) for s in rng.sample(range(14), 2)], "request_id bigint, stop_id bigint")
+    every, asked = (b.best_rides(marked, asks, totals, net, None, g) for g in (None, goals))
+    cols = ["request_id", "stop_id", "cost", "pattern_no", "alight_idx", "board_idx", "board_stop", "route_id"]
+    assert rows(asked, *cols) == rows(every.join(goals, ["request_id", "stop_id"], "left_semi"), *cols) and asked.count() > 3
+    assert "goal_bits" in asked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_round_shuffles_no_legs_of_its_new_rows_and_keeps_goals_only(spark):
+    rng = random.Random(3)
+    net, asks = network(spark, rng), requests(spark)
+    first = spark.createDataFrame([(i, s, 600 * rng.randint(0, 4), -1, False, []) for i in range(8) for s in rng.sample(range(14), 3)], STATE)
+    none = spark.createDataFrame([], "request_id bigint, best_total bigint, best_legs int")
+    state, new = b.round_step(first, first, none, asks, net)
+    best = {}
+    for r in [*first.collect(), *new.collect()]:
+        k = (r.request_id, r.stop_id)
+        best[k] = min([best[k], r] if k in best else [r], key=lambda x: x.cost)
+    assert rows(state, *first.columns) == sorted(map(repr, best.values()))
+    goals = spark.createDataFrame([(i, s) for i in range(8) for s in (1, 2, 3)], "request_id bigint, stop_id bigint")
+    some, few = b.round_step(state, new, none, asks, net, None, goals)
+    every, _ = b.round_step(state, new, none, asks, net)
+    assert {r.stop_id for r in some.collect()} <= {1, 2, 3} and {r.stop_id for r in few.collect()} <= {1, 2, 3}
+    assert rows(some, "request_id", "stop_id", "cost") == rows(every.filter("stop_id in (1, 2, 3)"), "request_id", "stop_id", "cost")
