@@ -220,6 +220,16 @@ def test_staged_tables_of_lines_go_as_soon_as_they_were_read(spark, monkeypatch)
     assert lines in made and lines in gone and not any("gap" in x for x in made)
 
 
+def test_words_of_lines_far_from_all_others_are_not_sent(spark, monkeypatch):
+    schemas, wide = [], [f"w{k}" for k in range(24)]
+    monkeypatch.setattr(line_dedup, "_units", lambda d, *a, f=line_dedup._units: schemas.append((d.columns, d.count())) or f(d, *a))
+    values = [(i, " ".join(["these", "four", "words", "open", *(f"x{i}y{k}" for k in range(20))])) for i in range(30)] + [(50, " ".join(wide)), (51, " ".join([*wide[:5], "z", *wide[6:11], "z", *wide[12:]]))]
+    _, gone = line_dedup.duplicate_lines(rows(spark, values))
+    assert {r.doc_id for r in gone.collect()} == {51}
+    slim, whole = schemas[:2]
+    assert "words" not in slim[0] and slim[1] > 6 and "words" in whole[0] and whole[1] <= 4
+
+
 def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
     text = "alpha beta\n\n gamma\talpha  \n" * 40 + "beta"
     whole = line_dedup.hashed_words(text.encode())
